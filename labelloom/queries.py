@@ -1,0 +1,5 @@
+"""All queries of the library by name, with their SQL counterparts."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+FLAGSHIP = "label_rollup"
