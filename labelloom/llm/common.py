@@ -110,6 +110,25 @@ def fold_of(doc_id: str, mod: int):
     return F.crc32(F.col(doc_id).cast("string")) % mod
 
 
+def bounded_sample(df: DataFrame, key: str, max_rows: int, by: str | None = None) -> DataFrame:
+    """At most max_rows rows (of each value of `by`), those of least hash of a key without nulls.
+
+    A count first sets the share of hashes that can matter, so what is sorted is bounded too, however
+    many rows there are; where the count is below max_rows, all rows stay.
+    """
+    from pyspark.sql import Window
+
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    near = lambda n: F.lit(1.5 * max_rows + 100) / n * F.lit(float(1 << 40))
+    if by is None:
+        n = max(1, df.count())
+        return df.where(place <= near(F.lit(float(n)))).orderBy(F.xxhash64(key), key).limit(max_rows)
+    counts = df.groupBy(by).agg(F.count("*").alias("_all"))
+    few = df.join(counts, by).where(place <= near(F.col("_all"))).drop("_all")
+    w = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
+    return few.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_rows).drop("_n")
+
+
 def running_offsets(df: DataFrame, order: str, value: str, out: str, label: str) -> DataFrame:
     """df, written in ascending order, with the sum of `value` over all rows before each row as `out`.
 

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, media, sharding, simhash
-from labelloom.llm.common import table
+from labelloom.llm import bpe, language, media, sharding, simhash, toxicity
+from labelloom.llm.common import fold_of, table
 
 SHARDS = 24
 
@@ -20,6 +20,21 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", bpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", 4) != 2)
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(fold_of("doc_id", 3) != 1))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "lang_shares")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -57,6 +72,8 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_language_mixture": op4_language_mixture,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op10_png_media": op10_png_media,
