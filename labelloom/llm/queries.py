@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, language, media, sharding, simhash, toxicity
+from labelloom.llm import bpe, language, media, sharding, simhash, token_store, toxicity
 from labelloom.llm.common import fold_of, table
 
 SHARDS = 24
@@ -35,6 +35,12 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "lang_shares")
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = token_store.write_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.verified(spark, store)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -74,6 +80,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_language_mixture": op4_language_mixture,
+    "op5_token_store": op5_token_store,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op10_png_media": op10_png_media,
