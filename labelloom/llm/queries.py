@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, language, media, sharding, simhash, token_store, toxicity
+from labelloom.llm import bpe, decontaminate, language, media, sharding, simhash, token_store, toxicity
 from labelloom.llm.common import fold_of, table
 
 SHARDS = 24
@@ -41,6 +41,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.verified(spark, store)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that overlap benchmark items, with the best overlap for each item."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -81,6 +86,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_language_mixture": op4_language_mixture,
     "op5_token_store": op5_token_store,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op10_png_media": op10_png_media,
