@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, decontaminate, language, media, sharding, simhash, token_store, toxicity
-from labelloom.llm.common import fold_of, table
+from labelloom.llm import bpe, decontaminate, kneser_ney, language, media, sharding, simhash, token_store, toxicity
+from labelloom.llm.common import fold_of, materialise, table
 
 SHARDS = 24
 
@@ -65,6 +65,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's perplexity under the model of trusted text, its language's threshold, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    scored = materialise(kneser_ney.with_perplexity(docs, trusted).drop("text"), "perplexity")
+    return kneser_ney.judged(scored)
+
+
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_png(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     stored = stored.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
@@ -89,6 +97,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
+    "op9_quality": op9_quality,
     "op10_png_media": op10_png_media,
 }
 
