@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, decontaminate, kneser_ney, language, media, sharding, simhash, token_store, toxicity
+from labelloom.llm import bpe, decontaminate, kneser_ney, language, media, sharding, simhash, token_store, toxicity, wrapper
 from labelloom.llm.common import fold_of, materialise, table
 
 SHARDS = 24
 
 
+def op1_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -90,6 +95,7 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_wrapper_text": op1_wrapper_text,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_language_mixture": op4_language_mixture,
