@@ -12,6 +12,11 @@ already in one component need no comparison, so a dense group costs little, and
 components leave a bucket: fewer than its members. A bucket of very many fingerprints goes to several
 tasks, a pair of its blocks to each.
 
+Wide fingerprints (`wide_components`) have 512 bits, of which the share that differs follows the
+similarity of the shingle vectors closely: at a Jaccard similarity of 0.8 about 0.15 of them differ. Their
+buckets come from sampled bits, as many as keep buckets small at the given number of fingerprints, and as
+many samples as find a pair at that similarity with 0.99 probability; the comparison is the same.
+
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any
 other; a text of fewer words than a shingle is one shingle; repeated rows get the same component; an
 empty table gives an empty table; null ids are kept, and never name a component unless it has no other.
@@ -27,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelloom.llm.common import add_columns, materialise
+from labelloom.llm.common import add_columns, map_slices, materialise
 from labelloom.llm.components import connected
 
 BITS = 64
@@ -37,25 +42,41 @@ _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
-def fingerprint(text: str, words: int) -> int:
-    """Majority bits over the XXH64 (seed 42) of the word shingles of a text, A-Z in lower case."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle of a text, repeats included, A-Z in lower case."""
     from xxhash import xxh64_intdigest as h
 
     parts = text.encode().translate(_FOLD).split()
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(parts)
     if len(parts) <= words:
-        return h(line, 42)
+        return np.array([h(line, 42)], "<u8")
     ends = np.cumsum([len(p) + 1 for p in parts]).tolist()
     starts = [0, *ends]
-    hashes = np.array([h(line[a : b - 1], 42) for a, b in zip(starts, ends[words - 1 :], strict=False)], "<u8")
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 8192):
-        block = hashes[at : at + 8192]
-        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (ones * 2 > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return np.array([h(line[a : b - 1], 42) for a, b in zip(starts, ends[words - 1 :], strict=False)], "<u8")
+
+
+def majority(hashes: np.ndarray, width: int = 1) -> np.ndarray:
+    """The bits set in over half of the hashes, as `width` 64-bit words; all words but the first take each
+    hash mixed once more."""
+    if not len(hashes):
+        return np.zeros(width, "<u8")
+    ones = np.zeros(BITS * width, np.int64)
+    for at in range(0, len(hashes), 4096):
+        block = np.empty((len(hashes[at : at + 4096]), width), "<u8")
+        block[:, 0] = hashes[at : at + 4096]
+        for k in range(1, width):
+            x = block[:, 0] + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            block[:, k] = x ^ (x >> np.uint64(31))
+        ones += np.unpackbits(block.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str, words: int) -> int:
+    return int(majority(shingle_hashes(text, words))[0])
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp", words: int = 4) -> DataFrame:
@@ -76,10 +97,10 @@ def as_hex(fp: Column) -> Column:
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:
-    """64 rows of words: bit b of fingerprint i is bit i % 64 of word i // 64 of row b. One word of padding."""
+    """A row of words for each bit: bit b of fingerprint i is bit i % 64 of word i // 64 of row b. One word of padding."""
     n = len(fp)
-    bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    held = np.zeros((BITS, (n // 64 + 2) * 64), np.uint8)
+    bits = np.unpackbits(np.ascontiguousarray(fp.astype("<u8")).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    held = np.zeros((bits.shape[1], (n // 64 + 2) * 64), np.uint8)
     held[:, :n] = bits.T
     return np.packbits(held, axis=1, bitorder="little").view("<u8")
 
@@ -116,7 +137,7 @@ def within(planes: np.ndarray, shift: int, words: np.ndarray, lanes: np.ndarray,
             there = there >> turn | row[np.minimum(words + step + 1, planes.shape[1] - 1)] << rest
         return row[words] ^ there
 
-    for b in range(0, BITS, 2):
+    for b in range(0, len(planes), 2):
         x, y = differing(b), differing(b + 1)
         low = counters[0]
         half = low ^ x
@@ -144,12 +165,13 @@ def _lanes(mask: np.ndarray) -> np.ndarray:
 
 
 def joining_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For fingerprints in buckets: links within the radius that span each bucket's components."""
-    none = np.zeros(0, np.uint64)
+    """For fingerprints in buckets (n, or n x words): places of links within the radius that span each
+    bucket's components."""
+    none = np.zeros(0, np.int64)
     if len(fp) < 2:
         return none, none
     _, which, sizes = np.unique(bucket, return_inverse=True, return_counts=True)
-    order = np.lexsort((fp, which, -sizes[which]))
+    order = np.lexsort((fp if fp.ndim == 1 else fp[:, 0], which, -sizes[which]))
     fp, which, size = fp[order], which[order], sizes[which][order]
     first = np.r_[True, which[1:] != which[:-1]]
     at = np.arange(len(fp))
@@ -193,8 +215,8 @@ def joining_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.n
             parent = label.tolist()
     if not out:
         return none, none
-    pairs = np.array(out)
-    return fp[pairs[:, 0]], fp[pairs[:, 1]]
+    pairs = order[np.array(out)]
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _band_keys(fp: Column, bands: int) -> Column:
@@ -210,85 +232,144 @@ def _band_keys(fp: Column, bands: int) -> Column:
 _FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("later", "a", "b")])
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
 def _compare_sorted(rows: DataFrame, radius: int, at_once: int, split_above: int | None) -> DataFrame:
-    """Rows (key, fp), each key within one partition and in order: links (later null), and the members of
-    buckets above split_above (later = key, a = fingerprint)."""
+    """Rows (key, node) or (key, node, fp), each key within one partition and in order; without fp, node is
+    the fingerprint. Gives links between nodes (later null), and the members of buckets above split_above
+    (later = key, a = node)."""
+    wide = len(rows.columns) > 2
+
+    def batch_of(later, a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([later, pa.array(a), b], names=_FOUND.names)
 
     def run(batches):
-        keys, fps, held = [], [], 0
-        too_large = None
+        held: list[tuple[np.ndarray, ...]] = []
+        waiting, deferred = 0, None  # deferred: the key of a bucket too large, of which rows still come
 
         def flush(last: bool):
-            nonlocal keys, fps, held, too_large
-            if not held:
+            nonlocal held, waiting, deferred
+            if not waiting:
                 return
-            key, fp = np.concatenate(keys), np.concatenate(fps)
-            stop = len(key) if last else int(np.searchsorted(key, key[-1], side="left"))
-            if split_above is not None:
-                opened = key[-1]
-                if too_large is not None:
-                    n = int(np.searchsorted(key, too_large, side="right"))
-                    if n:
-                        yield pa.RecordBatch.from_arrays([pa.array(key[:n]), _signed(fp[:n]), pa.nulls(n, pa.int64())], names=["later", "a", "b"])
-                    key, fp, stop = key[n:], fp[n:], max(0, stop - n)
-                    if len(key):
-                        too_large = None
-                sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]) if len(key) else np.zeros(0, int)
-                if len(sizes) and sizes.max() > split_above:
-                    big = np.repeat(sizes > split_above, sizes)
-                    if big[-1] and not last:
-                        too_large, stop = opened, len(key)
-                    big[stop:] = False
-                    yield pa.RecordBatch.from_arrays([pa.array(key[big]), _signed(fp[big]), pa.nulls(int(big.sum()), pa.int64())], names=["later", "a", "b"])
-                    a, b = joining_links(key[:stop][~big[:stop]], fp[:stop][~big[:stop]], radius)
-                else:
-                    a, b = joining_links(key[:stop], fp[:stop], radius)
-            else:
-                a, b = joining_links(key[:stop], fp[:stop], radius)
-            keys, fps, held = [key[stop:]], [fp[stop:]], len(key) - stop
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), _signed(a), _signed(b)], names=["later", "a", "b"])
+            key, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[first, len(key)])
+            large = (sizes > split_above) | (key[first] == deferred) if split_above is not None else np.zeros(len(first), bool)
+            stop = len(key) if last or large[-1] else int(first[-1])
+            deferred = key[-1] if large[-1] else None
+            off = np.repeat(large, sizes)
+            if off.any():
+                yield batch_of(pa.array(key[off]), node[off], pa.nulls(int(off.sum()), pa.int64()))
+            use = np.flatnonzero(~off[:stop])
+            i, j = joining_links(key[use], fp[use], radius)
+            if len(i):
+                yield batch_of(pa.nulls(len(i), pa.int64()), node[use[i]], pa.array(node[use[j]]))
+            held, waiting = [(key[stop:], node[stop:], fp[stop:])], len(key) - stop
 
         grow = at_once
         for batch in batches:
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-            fps.append(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-            held += batch.num_rows
-            if held >= grow:
+            key, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            if wide:
+                fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, -1)
+            else:
+                fp = node.view(np.uint64)
+            held.append((key, node, fp))
+            waiting += batch.num_rows
+            if waiting >= grow:
                 yield from flush(False)
-                grow = max(at_once, 2 * held)
+                grow = max(at_once, 2 * waiting)
         yield from flush(True)
 
     return rows.mapInArrow(run, _FOUND)
 
 
-def links_within(fps: DataFrame, fp: str, radius: int = 4, at_once: int = AT_ONCE, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Distinct fingerprints -> links (a, b) that span all components at the radius."""
-    value = F.col(fp)
-    keyed = fps.select(F.explode(_band_keys(value, radius + 2)).alias("key"), value.alias("fp"))
+def _links(keyed: DataFrame, prints: DataFrame | None, radius: int, at_once: int, split_above: int) -> DataFrame:
+    """keyed: (key, node) or (key, node, fp); prints: (node, fp), where fp is not the node itself."""
     dealt = keyed.repartition("key").sortWithinPartitions("key")
     found = materialise(_compare_sorted(dealt, radius, at_once, split_above), "near")
-    links, later = found.where("later is null").select("a", "b"), found.where("later is not null").select(F.col("later").alias("key"), F.col("a").alias("fp"))
+    links, later = found.where("later is null").select("a", "b"), found.where("later is not null").select(F.col("later").alias("key"), F.col("a").alias("node"))
     if later.limit(1).count() == 0:
         return links
     blocks = later.groupBy("key").agg((F.floor(F.count("*") * 2 / split_above) + 1).cast("int").alias("blocks"))
-    member = later.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(radius)), F.col("blocks")))
-    spread = member.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    member = later.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(radius)), F.col("blocks")))
+    spread = member.select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     task = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    again = spread.select(task.alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    again = spread.select(task.alias("key"), "node")
+    again = again if prints is None else again.join(prints, "node").select("key", "node", "fp")
+    again = again.repartition("key").sortWithinPartitions("key")
     return links.union(materialise(_compare_sorted(again, radius, at_once, None), "near-split").select("a", "b"))
 
 
+def links_within(fps: DataFrame, fp: str, radius: int = 4, at_once: int = AT_ONCE, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """Distinct fingerprints -> links (a, b) that span all components at the radius."""
+    value = F.col(fp)
+    keyed = fps.select(F.explode(_band_keys(value, radius + 2)).alias("key"), value.alias("node"))
+    return _links(keyed, None, radius, at_once, split_above)
+
+
 def components(df: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """All rows as (id, fp, component_id): the least id that links reach, the row's own included."""
     prints = materialise(with_fingerprint(df.select(F.col(id_).alias("_id"), F.col(text).alias("_text")), "_text", "fp", words).select("_id", "fp"), "prints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("_id").alias("least")), "distinct-prints")
     found = connected(links_within(distinct, "fp", radius), "a", "b")
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return _named(prints, rooted).select(F.col("_id").alias(id_), "fp", "component_id")
+
+
+def _named(prints: DataFrame, rooted: DataFrame) -> DataFrame:
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(F.col("_id").alias(id_), "fp", "component_id")
+    return prints.join(of_print, "fp")
+
+
+#: Words of a wide fingerprint; the share of differing bits up to which two link, and the share at the
+#: similarity of 0.8 for which bits are sampled; the probability of finding such a pair; bucket size aimed at.
+WIDE, WIDE_SHARE, SAMPLED_SHARE, FOUND, BUCKET = 8, 0.17, 0.151, 0.99, 1024
+#: Wide fingerprints that a task compares at once, and those of one bucket above which it is split up.
+WIDE_AT_ONCE, WIDE_SPLIT_ABOVE = 40_000, 30_000
+
+
+def sampled_bits(n: int, width: int = WIDE) -> list[np.ndarray]:
+    """For n fingerprints, the bits that each sample takes."""
+    k = max(8, int(np.log2(max(2, n))) - int(np.log2(BUCKET)))
+    tables = int(np.ceil(np.log(1 - FOUND) / np.log1p(-((1 - SAMPLED_SHARE) ** k))))
+    rng = np.random.Generator(np.random.PCG64(5))
+    return [rng.choice(BITS * width, k, replace=False) for _ in range(tables)]
+
+
+def with_wide_fingerprint(df: DataFrame, text: str = "text", out: str = "fp", words: int = 5, width: int = WIDE) -> DataFrame:
+    def start():
+        def one(batch: pa.RecordBatch) -> list[pa.Array]:
+            column = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            return [pa.array([majority(shingle_hashes(x or "", words), width).tobytes() for x in column], pa.binary())]
+
+        return one
+
+    return add_columns(df, [T.StructField(out, T.BinaryType())], start)
+
+
+def _sampled_keys(prints: DataFrame, samples: list[np.ndarray]) -> DataFrame:
+    """(node, fp) -> (key, node, fp) for each sample of bits."""
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType())])
+
+    def start():
+        def one(batch: pa.RecordBatch):
+            node, fp = batch.column(0), batch.column(1)
+            bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1, bitorder="little")
+            for n, sample in enumerate(samples):
+                packed = bits[:, sample].astype(np.int64) @ (1 << np.arange(len(sample), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(packed | n << 48), node, fp], names=schema.names)
+
+        return one
+
+    return map_slices(prints, schema, start, rows=4096)
+
+
+def wide_components(df: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 5, share: float = WIDE_SHARE, at_once: int = WIDE_AT_ONCE, split_above: int = WIDE_SPLIT_ABOVE) -> DataFrame:
+    """All rows as (id, component_id), linked where at most `share` of 512 bits differ."""
+    prints = materialise(with_wide_fingerprint(df.select(F.col(id_).alias("_id"), F.col(text).alias("_text")), "_text", "fp", words).select("_id", "fp"), "wide-prints")
+    least = prints.groupBy("fp").agg(F.min("_id").alias("least"))
+    distinct = materialise(least.withColumn("node", F.xxhash64("fp")), "distinct-wide-prints")
+    nodes = distinct.select("node", "fp")
+    keyed = _sampled_keys(nodes, sampled_bits(distinct.count()))
+    found = connected(_links(keyed, nodes, int(share * BITS * WIDE), at_once, split_above), "a", "b")
+    rooted = distinct.join(found, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    return _named(prints, rooted).select(F.col("_id").alias(id_), "component_id")

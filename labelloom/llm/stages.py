@@ -6,14 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, simhash
+from labelloom.llm import bpe, decontaminate, kneser_ney, simhash, toxicity
+from labelloom.llm.common import fold_of, materialise, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at its limit or above go. It learns from the labels of this
+    stage's own documents, in the same folds as the query of the operator."""
+    labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", 4) != 2)
+    scored = toxicity.score(docs, toxicity.train(docs, labels), out="_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.REJECT).drop("_toxicity")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents above their language's perplexity go; the model learns from this stage's trusted documents."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    scored = materialise(kneser_ney.with_perplexity(docs, trusted), "quality")
+    return kneser_ney.judged(scored).where("keep").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the least id."""
-    found = simhash.components(docs, words=5)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, that of
+    the least id; of rows that repeat it, one stays; documents without an id stay."""
+    found = simhash.wide_components(docs, words=5).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.union(docs.where("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap benchmark items go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
