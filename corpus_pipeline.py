@@ -8,7 +8,10 @@ from labelloom.llm import stages
 from labelloom.llm.common import materialise, table
 
 STAGES = [
+    ("toxicity", stages.drop_toxic),
+    ("quality", stages.keep_quality),
     ("simhash_near_dedup", stages.near_dedup),
+    ("decontamination", stages.decontaminated),
     ("byte_bpe", stages.encode),
 ]
 
