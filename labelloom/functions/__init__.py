@@ -1 +1 @@
-
+"""Column functions: text, URLs, labels, boxes, hashes."""

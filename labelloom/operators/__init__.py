@@ -1 +1 @@
-
+"""Operators over DataFrames: joins, label graphs, quality assurance, samples, vectors."""

@@ -1 +1 @@
-
+"""Flows: named steps over lazy values."""

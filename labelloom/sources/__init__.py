@@ -1 +1 @@
-
+"""Reading and writing: bulk loads, merges, logs, text stores."""

@@ -1 +1 @@
-
+"""Structured Streaming: log flushes, windows, crawl state, polled hits."""
