@@ -44,7 +44,7 @@ def most_frequent(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where("user_id < 20").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
 
 
-@query("A9", "SELECT o_orderstatus, CAST(count(DISTINCT o_custkey) AS BIGINT) AS pages, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus")
+@query("A9 S23", "SELECT o_orderstatus, CAST(count(DISTINCT o_custkey) AS BIGINT) AS pages, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus")
 def distinct_and_sum(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("pages"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
