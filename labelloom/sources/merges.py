@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.operators.ordering import numbered
+
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Adds the new rows whose key is not there; of new rows with one key the first by all columns."""
@@ -33,8 +35,7 @@ def get_or_create(old: DataFrame, wanted: DataFrame, keys: list[str], id_: str)
     """The old rows and a new row with the next ids for each wanted key that is not there."""
     missing = wanted.select(*keys).distinct().join(old.select(*keys), keys, "left_anti")
     top = old.agg(F.coalesce(F.max(id_), F.lit(0)).alias("_top"))  # one row
-    numbered = missing.withColumn("_n", F.row_number().over(Window.orderBy(*keys)))
-    made = numbered.join(F.broadcast(top)).withColumn(id_, (F.col("_top") + F.col("_n")).cast(old.schema[id_].dataType))
+    made = numbered(missing, keys, "_n").join(F.broadcast(top)).withColumn(id_, (F.col("_top") + F.col("_n")).cast(old.schema[id_].dataType))
     return old.unionByName(made.select(id_, *keys), allowMissingColumns=True)
 
 

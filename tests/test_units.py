@@ -168,3 +168,19 @@ def test_streams(spark, tmp_path):
     seen: list[int] = []
     flows.drained(flows.once_each(flows.read(spark, str(tmp_path / "hits"), hits.schema), "hit", "at", "1 hour", lambda b: seen.extend(r["hit"] for r in b.collect()), str(tmp_path / "check2")))
     assert sorted(seen) == [1, 2]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    from labelloom.operators import vectors as V
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "id long, v array<double>")
+    want = {tuple(r) for r in V.nearest(rows.where("id % 3 = 0"), rows, "id", "v", 4).collect()}
+    monkeypatch.setattr(V, "SENT_QUERIES", 6)
+    assert {tuple(r) for r in V.nearest(rows.where("id % 3 = 0"), rows, "id", "v", 4).collect()} == want and len(want) == 80
+
+
+def test_numbered(spark):
+    from labelloom.operators.ordering import numbered
+
+    rows = spark.createDataFrame([(f"k{i:03}",) for i in range(100)][::-1], "k string")
+    assert {r["k"]: r["n"] for r in numbered(rows, ["k"], "n").collect()} == {f"k{i:03}": i + 1 for i in range(100)}
