@@ -31,15 +31,43 @@ def ngrams(tokens: Column, longest: int) -> Column:
     n = F.size(tokens)
 
     def of_length(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.when(i + (k - 1) <= n, F.array_join(F.slice(tokens, i, k), " ")))
+        if k == 1:
+            return tokens
+        return F.transform(tokens, lambda t, i: F.when(i + k <= n, F.concat_ws(" ", t, *[F.get(tokens, i + j) for j in range(1, k)])))
 
     return F.array_distinct(F.array_compact(F.flatten(F.array(*[of_length(k) for k in range(1, longest + 1)]))))
 
 
+#: Phrases up to which they are looked up within the token array, before any row is made of an n-gram.
+FEW_PHRASES = 5_000
+
+
+def held(tokens: Column, phrases: list[str], longest: int) -> Column:
+    """The distinct phrases of at most `longest` tokens that a token array holds."""
+    first = sorted({p.split(" ")[0] for p in phrases})
+    n = F.size(tokens)
+
+    def of_length(k: int) -> Column:
+        some = [p for p in phrases if p.count(" ") == k - 1]
+        if not some:
+            return F.array().cast("array<string>")
+        if k == 1:
+            return F.filter(tokens, lambda t: t.isin(some))
+        grams = F.transform(tokens, lambda t, i: F.when(t.isin(first) & (i + k <= n), F.concat_ws(" ", t, *[F.get(tokens, i + j) for j in range(1, k)])))
+        return F.filter(grams, lambda g: g.isin(some))
+
+    return F.array_distinct(F.flatten(F.array(*[of_length(k) for k in range(1, longest + 1)])))
+
+
 def phrase_join(rows: DataFrame, tokens: str, phrases: DataFrame, phrase: str, longest: int) -> DataFrame:
-    """Rows with each phrase of at most `longest` tokens that their tokens hold; a row and phrase meet once."""
-    return rows.withColumn("_gram", F.explode(ngrams(F.col(tokens), longest))).join(phrases, F.col("_gram") == F.col(phrase)).drop("_gram")
+    """Rows with each phrase of at most `longest` tokens that their tokens hold; a row and phrase meet once.
+
+    Up to FEW_PHRASES phrases are sets within the expression, so that only hits become rows; more meet all
+    n-grams in a join.
+    """
+    some = [r[0] for r in phrases.select(phrase).where(F.col(phrase).isNotNull()).distinct().limit(FEW_PHRASES + 1).collect()]
+    grams = held(F.col(tokens), some, longest) if len(some) <= FEW_PHRASES else ngrams(F.col(tokens), longest)
+    return rows.withColumn("_gram", F.explode(grams)).join(phrases, F.col("_gram") == F.col(phrase)).drop("_gram")
 
 
 def closure(edges: DataFrame, parent: str, child: str, max_rounds: int = 64) -> DataFrame:

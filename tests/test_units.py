@@ -184,3 +184,13 @@ def test_numbered(spark):
 
     rows = spark.createDataFrame([(f"k{i:03}",) for i in range(100)][::-1], "k string")
     assert {r["k"]: r["n"] for r in numbered(rows, ["k"], "n").collect()} == {f"k{i:03}": i + 1 for i in range(100)}
+
+
+def test_phrases_with_and_without_the_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a b c a b".split()), (2, ["b"]), (3, [])], "id long, t array<string>")
+    keys = spark.createDataFrame([("a b",), ("b",), ("b c a",), ("c c",), ("x",)], "p string")
+    want = {(1, "a b"), (1, "b"), (1, "b c a"), (2, "b")}
+    for few in (100, 0):
+        monkeypatch.setattr(joins, "FEW_PHRASES", few)
+        got = [(r["id"], r["p"]) for r in joins.phrase_join(rows, "t", keys, "p", 3).collect()]
+        assert set(got) == want and len(got) == len(want)
