@@ -34,10 +34,12 @@ from labelloom.llm.common import add_columns, materialise, texts_of
 
 #: Rules (a host's skeletons) that are sent to the executors at once at most.
 MAX_RULES = 50_000
+#: Elements nested deeper than this stand beside each other, as browsers put them.
+DEEPEST = 200
 #: Pages on which a single node's text must be the same to count as template.
 CONSTANT_PAGES = 3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(script|style|noscript|template|svg|math|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(script|style|noscript|template|svg|math|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
@@ -134,7 +136,7 @@ def parse(source: str) -> Node:
             continue
         node = _node(tag, token)
         stack[-1].parts.append(node)
-        if not token.endswith("/>") or tag in BLOCKS:
+        if (not token.endswith("/>") or tag in BLOCKS) and len(stack) < DEEPEST:
             stack.append(node)
     return root
 
