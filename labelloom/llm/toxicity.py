@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
-from labelloom.llm.common import add_columns, bounded_sample, map_slices, texts_of
+from labelloom.llm.common import add_columns, bounded_sample, map_slices, materialise, texts_of
 
 #: Labelled rows that are fitted on at most; features kept at most.
 MAX_ROWS, MAX_FEATURES = 20_000, 8_192
@@ -64,8 +65,6 @@ def swapped(words: set[str]) -> set[str]:
 
 
 def _hash(feature: str) -> int:
-    from xxhash import xxh64_intdigest
-
     return xxh64_intdigest(feature.encode()) % BUCKETS
 
 
@@ -118,36 +117,22 @@ class _Known(dict):
         return found
 
 
-def fit(rows: list[np.ndarray], others: list[np.ndarray | None], labels: np.ndarray, counterfactual: float = 1.0, l2: float = 1.0, rounds: int = 300) -> Model:
-    """rows: each text's features; others: those with swapped identity terms, where there are any.
+def chosen(counts: DataFrame, rows: int, toxic: int, most: int = MAX_FEATURES) -> np.ndarray:
+    """The features (feature, seen, toxic) whose share of toxic texts departs most from chance, both ways, sorted."""
+    share = toxic / rows
+    z = (F.col("toxic") - F.col("seen") * share) / F.sqrt(F.col("seen") * (share * (1 - share)))
+    top = counts.where("seen >= 3").select("feature", F.abs(z).alias("z")).where("z > 2.5").orderBy(F.desc("z"), "feature").limit(most)
+    return np.sort(np.array([r[0] for r in top.collect()], np.int64))
 
-    Features are chosen by how far their share in toxic texts departs from chance, both ways.
-    """
-    if not len(labels) or labels.min() == labels.max():
-        share = 0.0 if not len(labels) else float(labels[0])
-        return Model(np.zeros(0, np.int64), np.zeros(0), 30.0 if share else -30.0)
-    n, share = len(labels), labels.mean()
-    flat, row = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    kinds, place, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    toxic = np.bincount(place, weights=labels[row], minlength=len(kinds))
-    z = (toxic - seen * share) / np.sqrt(seen * share * (1 - share))
-    enough = np.flatnonzero((seen >= 3) & (np.abs(z) > 2.5))
-    chosen = np.sort(enough[np.argsort(-np.abs(z[enough]), kind="stable")][:MAX_FEATURES])
-    features = kinds[chosen]
-    back = np.full(len(kinds), -1)
-    back[chosen] = np.arange(len(chosen))
-    col = back[place]
-    row, col = row[col >= 0], col[col >= 0]
-    pairs = [(k, rows[k], o) for k, o in enumerate(others) if o is not None]
-
-    def places(values: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(features, values), max(0, len(features) - 1))
-        return at[features[at] == values] if len(features) else at[:0]
 
+def fit(features: np.ndarray, rows: list[np.ndarray], others: list[np.ndarray | None], labels: np.ndarray, counterfactual: float = 1.0, l2: float = 1.0, rounds: int = 300) -> Model:
+    """rows: the places of each text's features; others: those with swapped identity terms, where there are any."""
+    n, share = len(labels), labels.mean()
+    row, col = np.repeat(np.arange(n), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64)
+    pairs = [(own, other) for own, other in zip(rows, others, strict=True) if other is not None]
     drow, dcol, dval = [], [], []
-    for k, (_, own, other) in enumerate(pairs):
-        for values, sign in ((own, 1.0), (other, -1.0)):
-            at = places(values)
+    for k, pair in enumerate(pairs):
+        for at, sign in zip(pair, (1.0, -1.0), strict=True):
             drow.append(np.full(len(at), k)), dcol.append(at), dval.append(np.full(len(at), sign))
     drow, dcol, dval = (np.concatenate(x) if x else np.zeros(0) for x in (drow, dcol, dval))
     drow, dcol = drow.astype(int), dcol.astype(int)
@@ -166,37 +151,73 @@ def fit(rows: list[np.ndarray], others: list[np.ndarray | None], labels: np.ndar
     return Model(features, w, b)
 
 
+_COUNTS = T.StructType([T.StructField(c, T.LongType()) for c in ("feature", "seen", "toxic")])
 _TRAINED = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("own", T.ArrayType(T.IntegerType())), T.StructField("other", T.ArrayType(T.IntegerType()))])
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """(feature, seen, toxic): in how many texts, and in how many of label 1; summed within tasks first."""
+
+    def run(batches):
+        memory, found = _Features(), {0: [], 1: []}
+
+        def merged():
+            parts = []
+            for label, lists in found.items():
+                if lists:
+                    kinds, n = np.unique(np.concatenate(lists), return_counts=True)
+                    parts.append(pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(n), pa.array(n * label)], names=_COUNTS.names))
+                lists.clear()
+            return parts
+
+        waiting = 0
+        for batch in batches:
+            for x, label in zip(texts_of(batch, "_text"), batch.column(batch.schema.get_field_index("_label")).to_pylist(), strict=True):
+                own = np.unique(np.fromiter((f for w in words_of(x) for f in memory[w]), np.int32))
+                found[int(label > 0)].append(own)
+                waiting += len(own)
+                if waiting > 5_000_000:
+                    yield from merged()
+                    waiting = 0
+        yield from merged()
+
+    return rows.mapInArrow(run, _COUNTS).groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, counterfactual: float = 1.0) -> Model:
     """Fits on the labelled documents, of more than max_rows on those whose ids have the least hashes."""
     known = labels.where(F.col(id_).isNotNull() & F.col(label).isNotNull()).select(F.col(id_).alias("_id"), F.col(label).cast("int").alias("_label"))
     sample = bounded_sample(known, "_id", max_rows)
     # at most max_rows rows of 12 bytes, so this side is small by its bound
     rows = docs.select(F.col(id_).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_label")
+    rows = materialise(rows, "labelled-sample")
+    n, toxic = rows.agg(F.count("*"), F.count_if(F.col("_label") > 0)).first()
+    if toxic in (0, n):
+        return Model(np.zeros(0, np.int64), np.zeros(0), 30.0 if toxic else -30.0)
+    features = chosen(_counted(rows), n, toxic)
 
     def start():
-        memory = _Features()
+        place, memory = {int(f): k for k, f in enumerate(features)}, _Features()
+
+        def places(words: set[str]) -> np.ndarray:
+            return np.unique(np.fromiter((k for w in words for f in memory[w] if (k := place.get(f)) is not None), np.int32))
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             own, other = [], []
             for x in texts_of(batch, "_text"):
                 words = words_of(x)
-                own.append(np.unique(np.fromiter((f for w in words for f in memory[w]), np.int32)))
                 far = swapped(words)
-                other.append(None if far == words else np.unique(np.fromiter((f for w in far for f in memory[w]), np.int32)))
+                own.append(places(words)), other.append(None if far == words else places(far))
             kind = pa.list_(pa.int32())
             return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_label")), pa.array(own, kind), pa.array(other, kind)], names=["label", "own", "other"])
 
         return one
 
-    got = map_slices(rows, _TRAINED, start).toArrow().combine_chunks()
-    own = got.column("own").to_pandas().tolist()
-    order = sorted(range(len(own)), key=lambda k: own[k].tobytes())  # the order of arrival is not fixed
-    other = got.column("other").to_pandas().tolist()
-    y = got.column("label").to_numpy().astype(float)
-    return fit([own[k].astype(np.int64) for k in order], [None if other[k] is None else other[k].astype(np.int64) for k in order], (y[order] > 0).astype(float) if len(y) else y, counterfactual)
+    got = map_slices(rows, _TRAINED, start).toArrow().combine_chunks()  # max_rows rows of chosen features
+    own, other = (got.column(c).to_pandas().tolist() for c in ("own", "other"))
+    y = (got.column("label").to_numpy() > 0).astype(float)
+    order = sorted(range(n), key=lambda k: (y[k], own[k].tobytes()))  # the order of arrival is not fixed
+    return fit(features, [own[k] for k in order], [other[k] for k in order], y[order], counterfactual)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
