@@ -322,9 +322,9 @@ def _named(prints: DataFrame, rooted: DataFrame) -> DataFrame:
 
 #: Words of a wide fingerprint; the share of differing bits up to which two link, and the share at the
 #: similarity of 0.8 for which bits are sampled; the probability of finding such a pair; bucket size aimed at.
-WIDE, WIDE_SHARE, SAMPLED_SHARE, FOUND, BUCKET = 8, 0.17, 0.151, 0.99, 1024
+WIDE, WIDE_SHARE, SAMPLED_SHARE, FOUND, BUCKET = 8, 0.17, 0.151, 0.99, 32
 #: Wide fingerprints that a task compares at once, and those of one bucket above which it is split up.
-WIDE_AT_ONCE, WIDE_SPLIT_ABOVE = 40_000, 30_000
+WIDE_AT_ONCE, WIDE_SPLIT_ABOVE = 100_000, 30_000
 
 
 def sampled_bits(n: int, width: int = WIDE) -> list[np.ndarray]:
