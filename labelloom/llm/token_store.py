@@ -19,10 +19,13 @@ an empty table gives an empty store; further columns are not stored, but for the
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import uuid
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from labelloom.llm.common import map_slices, materialise, running_offsets, share
 #: Ids under the rolling window (a power of two); the mean, least and most of a chunk's ids.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 2048
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 _GEAR = (np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 _GEAR = (_GEAR ^ (_GEAR >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 _GEAR ^= _GEAR >> np.uint64(32)
@@ -87,47 +90,100 @@ class WordEncoder:
 
     Spaces and line ends always part what this tokenizer's expressions match, and it drops them, so a
     text's ids are those of its blank-separated words one after the other; each new word is encoded by
-    the library once and remembered. Vocabularies for which that does not hold are encoded text by text.
+    the library once and remembered. New words go through it many at a time. Letters below PLAIN are put in lower case first, as its own normaliser would
+    do anyway. Vocabularies for which that does not hold are encoded text by text.
     """
 
-    def __init__(self, content: str, end_id: int, apart: bool):
+    def __init__(self, content: str, end_id: int, apart: str | None):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.end_id, self.apart = Tokenizer.from_str(content), end_id, apart
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.wide = max(vocabulary.values()) >= 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
         self.end = np.array([end_id], self.kind).tobytes()
+        self.between = self.tokenizer.token_to_id(apart) if apart else None
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memory: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, with the end id."""
-        pack = lambda e: np.array(e.ids, self.kind).tobytes()
         if not self.apart:
-            return [pack(e) + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = list({w for words in split for w in words if w not in self.memory})
-        if len(self.memory) + len(new) > REMEMBERED:
+            return [self._packed(x) + self.end for x in texts]
+        split = [(x.lower() if "<" not in x and (x.isascii() or not _BEYOND(x)) else x).replace("\n", " ").split(" ") for x in texts]
+        if len(self.memory) > REMEMBERED:
             self.memory.clear()
-            new = list({w for words in split for w in words})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memory[w] = pack(e)
+        self._learn(set(chain.from_iterable(split)).difference(self.memory))
         known = self.memory.__getitem__
         return [b"".join(map(known, words)) + self.end for words in split]
 
-
-def blanks_part(content: str) -> bool:
-    """Whether a tokenizer.json drops blanks and never matches across one, by its own parts."""
+    def _learn(self, new: set[str]) -> None:
+        """Words of letters only are one match each, which ends with a token that ends a word; so many of
+        them are encoded as one text. A mark after such a word is a match of its own."""
+        memory, plain, marked, other = self.memory, [], [], []
+        for w in new:
+            if w.isalpha() and _one_case(w):
+                plain.append(w)
+            elif w[-1:] in (",", ".") and w[:-1].isalpha() and _one_case(w):
+                marked.append(w)
+                if w[:-1] not in new and w[:-1] not in memory:
+                    plain.append(w[:-1])
+            else:
+                other.append(w)
+        self._learn_together(list(dict.fromkeys(plain)), " ", self.last)
+        memory.update((m, self._packed(m)) for m in (",", "."))
+        memory.update((w, memory[w[:-1]] + memory[w[-1]]) for w in marked)
+        memory.update((w, self._packed(w)) for w in other if "<" in w or not w)
+        self._learn_together([w for w in other if w and "<" not in w], self.apart, None)
+
+    def _packed(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn_together(self, words: list[str], between: str, last: np.ndarray | None) -> None:
+        """Encodes words as one text. last: which ids end a word; None: the token between words parts them."""
+        for at in range(0, len(words), 5000):
+            some = words[at : at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, np.int64)
+            packed, width = ids.astype(self.kind).tobytes(), int(self.kind[-1])
+            if last is None:
+                ends = np.flatnonzero(ids == self.between)
+                starts, stops = np.r_[0, ends + 1], np.r_[ends, len(ids)]
+            else:
+                stops = np.flatnonzero(last[ids]) + 1
+                starts = np.r_[0, stops[:-1]]
+            if len(stops) != len(some):
+                raise ValueError("words and their ids don't agree")
+            self.memory.update(zip(some, [packed[a:b] for a, b in zip((starts * width).tolist(), (stops * width).tolist(), strict=True)], strict=True))
+
+
+#: Whether a text has a character from PLAIN on, whose lower case is left to the library.
+PLAIN = 0x250
+_BEYOND = re.compile(f"[^\x00-{chr(PLAIN - 1)}]").search
+
+
+def _one_case(word: str) -> bool:
+    """Whether lower case leaves a word's letters letters: below PLAIN only the dotted capital I does not."""
+    return word.isascii() or (not _BEYOND(word) and "\u0130" not in word)
+
+
+def blanks_part(content: str) -> str | None:
+    """A special token that may stand between words, if a tokenizer.json drops blanks, puts all in lower case
+    and never matches across a blank, by its own parts; else None."""
     import json
 
     spec = json.loads(content)
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
     split = steps[0] if steps else {}
     if split.get("type") != "Split" or split.get("behavior") != "Removed" or not split.get("invert"):
-        return False
+        return None
     plain = {t["content"] for t in spec.get("added_tokens", []) if " " in t["content"] or t["lstrip"] or t["rstrip"]}
     kinds = {n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])}
     expression = split.get("pattern", {}).get("Regex", "")
-    return not plain and kinds <= {"NFC", "Replace", "Lowercase"} and " " not in expression and "\\s+" not in expression
+    special = [t["content"] for t in spec.get("added_tokens", []) if t["special"] and not t["normalized"] and t["content"].startswith("<")]
+    fits = (spec.get("model") or {}).get("end_of_word_suffix") == "</w>" and not plain and special and kinds == {"NFC", "Replace", "Lowercase"} and "[\\p{L}]+" in expression and " " not in expression and "\\s+" not in expression
+    return special[0] if fits else None
 
 
 @lru_cache(maxsize=1)
@@ -182,9 +238,9 @@ def write_store(df: DataFrame, tokenizer_path: str, end_id: int, id_: str = "doc
         return one
 
     cut = map_slices(df.select(id_, text), schema, start).withColumn("row", F.monotonically_increasing_id())
-    cut = materialise(cut, "cut-ids")  # the row numbers and chunks are fixed from here on
+    cut = materialise(cut, "cut-ids", "zstd")  # the row numbers and chunks are fixed from here on
     pieces = cut.select(F.explode(F.arrays_zip("hashes", "chunks")).alias("c")).select(F.col("c.hashes").alias("hash"), F.col("c.chunks").alias("ids"))
-    pieces.groupBy("hash").agg(F.first("ids").alias("ids")).write.parquet(f"{path}/chunks")
+    pieces.groupBy("hash").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = cut.select("row", F.posexplode("hashes").alias("seq", "hash"))
     recipes.write.parquet(f"{path}/recipes")
     rooted = _with_root(cut.select("row", "doc_id", "n_tokens", "hashes"))
