@@ -35,7 +35,9 @@ from labelloom.llm.common import add_columns, texts_of
 #: Bytes of a leaf, which is merged directly.
 LEAF = 24
 #: Matches remembered in a task; then the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
+#: Token pairs remembered in a task.
+REMEMBERED_PAIRS = 100_000
 _NONE = 1 << 40
 #: Below this code point a text is matched by the standard library's faster expressions.
 PLAIN = 0x250
@@ -85,7 +87,7 @@ class TreeEncoder:
         """Whether merging the joint bytes of two tokens gives these two again."""
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) > REMEMBERED:
+            if len(self._pairs) > REMEMBERED_PAIRS:
                 self._pairs.clear()
             known = self._pairs[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return known

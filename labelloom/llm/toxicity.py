@@ -85,7 +85,7 @@ class _Features(dict):
     """Word -> its features."""
 
     def __missing__(self, word: str) -> list[int]:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = features_of(word)
         return found
@@ -110,7 +110,7 @@ class _Known(dict):
         self.place = {int(f): k for k, f in enumerate(model.features)}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         place = self.place
         found = self[word] = tuple(place[f] for f in features_of(word) if f in place)
