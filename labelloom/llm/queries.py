@@ -37,7 +37,7 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.where(fold_of("doc_id", 3) != 1))
     found = language.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "lang_shares")
+    return found.select("doc_id", F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", F.to_json("lang_shares").alias("lang_shares"))
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
