@@ -38,7 +38,7 @@ from labelloom.llm.common import map_slices, materialise, running_offsets, share
 #: Ids under the rolling window (a power of two); the mean, least and most of a chunk's ids.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 2048
 #: Words whose ids a task remembers.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 _GEAR = (np.arange(1 << 16, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 _GEAR = (_GEAR ^ (_GEAR >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 _GEAR ^= _GEAR >> np.uint64(32)
