@@ -129,6 +129,27 @@ def test_quality_separates(spark, big):
     assert share[1] > 0.99 and share[0] < 0.2
 
 
+def test_quality_thresholds_are_quantiles_of_unseen_documents(spark):
+    """Of 100 good documents 95 stay, whatever the spread, and what is above the quantile goes."""
+    rows = [(i, "en", True, 2.0, 3.0 + i / 100) for i in range(100)] + [(100, "en", False, 3.95, None), (101, "en", False, 3.9, None), (102, "de", False, 3.95, None)]
+    out = {r["doc_id"]: r for r in K.judged(spark.createDataFrame(rows, "doc_id long, lang string, trusted boolean, perplexity double, unseen double")).collect()}
+    assert out[0]["threshold"] == pytest.approx(3.94) and out[101]["keep"] and not out[100]["keep"] and not out[102]["keep"]
+    assert all(out[i]["keep"] for i in range(100)) and "unseen" not in out[0].asDict()
+
+
+def test_unseen_perplexity_is_of_other_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60 and n_chars < 3000").select("doc_id", "text", "lang")
+    got = {r["doc_id"]: r for r in K.with_perplexity(docs, docs.select("doc_id")).collect()}
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    held = {i for i, r in got.items() if r["unseen"] is not None}
+    assert 0 < len(held) < len(got) / 2
+    p = slow_model([t for i, t in texts.items() if i not in held])
+    for i in sorted(held)[:5]:
+        padded = bytes(K.ORDER - 1) + texts[i]
+        want = np.exp(-sum(np.log(p(padded[k : k + K.ORDER])) for k in range(len(texts[i]))) / len(texts[i]))
+        assert got[i]["unseen"] == pytest.approx(want, rel=1e-4)
+
+
 def test_quality_odd_rows(docs, empty, labels):
     trusted = labels.where("quality = 1").select("doc_id")
     out = K.judged(K.with_perplexity(docs, trusted)).collect()
