@@ -212,7 +212,7 @@ def host_of(url: str) -> str:
 
 @dataclass
 class Slot:
-    """A wrapper node. text: its constant text's hash, or None if it varies; chars: its varying text."""
+    """A wrapper node. text: its constant text's hash, or None if it varies; chars: its characters, constant or not."""
 
     label: str
     children: list
@@ -277,14 +277,16 @@ def decide(wrapper: Slot, n_skeletons: int) -> list[set[int]]:
     """For each skeleton the nodes whose text is content."""
     weight: dict[int, float] = {}
 
-    def weigh(slot: Slot, barred: bool) -> float:
+    def weigh(slot: Slot, barred: bool, constant: bool) -> float:
         off = barred or slot.label[0] == "-"
-        total = 0.0 if off else slot.chars
-        total += sum(weigh(c, off) for c in slot.children)
+        varies = constant or slot.text is None or slot.pages < CONSTANT_PAGES
+        total = slot.chars if varies and not off else 0.0
+        total += sum(weigh(c, off, constant) for c in slot.children)
         weight[id(slot)] = total
         return total
 
-    weigh(wrapper, False)
+    if not weigh(wrapper, False, False):  # nothing varies: all text counts
+        weigh(wrapper, False, True)
     regions: list[Slot] = []
 
     def find(slot: Slot) -> None:

@@ -56,3 +56,16 @@ def test_odd_pages(spark):
     assert got[7] == ("long " * 60_000).strip() and got[6].endswith("deep") and len(got) == 8
     empty = spark.createDataFrame([], "page_id long, url string, html string, text int")
     assert W.extract(empty).count() == 0
+
+
+def test_regions_are_weighed_by_varying_text(spark):
+    """A long text that is the same on every page outweighs no region, marked or not, however short the rest."""
+    same = "These terms are the same on every page. " * 40
+    for mark in ("content", "x9"):
+        rows = [page(k, f'<div class="left"><div class="{mark}"><p>{same}</p></div></div><div class="right"><div class="{mark}"><h2>Head {k}</h2><p>Text {k}</p></div></div>') for k in range(5)]
+        assert texts(spark, rows) == {k: f"Head {k} Text {k}" for k in range(5)}
+
+
+def test_pages_that_do_not_vary(spark):
+    rows = [page(0, "<article><p>All the same</p></article>") for _ in range(4)]
+    assert set(texts(spark, rows).values()) == {"All the same"}
