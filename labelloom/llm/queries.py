@@ -79,7 +79,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_png(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    stored = media.store_png(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", filtering="least")
     stored = stored.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
     back = media.read_png(stored)
     return back.select(

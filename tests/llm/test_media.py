@@ -63,3 +63,21 @@ def test_hash_keeps_under_small_changes():
     y[5, 5] ^= 8
     a, b = (np.unpackbits(np.frombuffer(media.frequency_hash(v), np.uint8)) for v in (x, y))
     assert (a != b).sum() <= 3
+
+
+def test_query_reads_filtered_lines(spark, sf_dir, monkeypatch):
+    """The query's stored scan lines are filtered, and reading them back gives the padded texts."""
+    import hashlib
+
+    from labelloom.llm import queries
+
+    held, read = [], media.read_png
+    monkeypatch.setattr(media, "read_png", lambda df: held.append(df) or read(df))
+    out = {r["doc_id"]: r["payload_sha256"] for r in queries.op10_png_media(spark, sf_dir).collect()}
+    kinds = set()
+    for r in held[0].limit(20).collect():
+        body = zlib.decompress(b"".join(b for k, b in media.chunks_of(r["media"]) if k == b"IDAT"))
+        kinds |= set(body[:: media.WIDTH + 1])
+    assert kinds - {0}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).collect():
+        assert out[r["doc_id"]] == hashlib.sha256(media.padded((r["text"] or "").encode(), media.WIDTH)).hexdigest()
