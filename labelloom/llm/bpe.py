@@ -22,7 +22,6 @@ import heapq
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,9 @@ from labelloom.llm.common import add_columns, texts_of
 
 #: Bytes of a leaf, which is merged directly.
 LEAF = 24
-#: Matches remembered in a task; then the memory starts anew.
-REMEMBERED = 250_000
+#: Bytes of matches and their ids remembered in a task, each with its share of the table; beyond, the memory
+#: starts anew. Longer matches than LONGEST bytes are not remembered.
+REMEMBERED, ENTRY, LONGEST = 48 << 20, 200, 64
 #: Token pairs remembered in a task.
 REMEMBERED_PAIRS = 100_000
 _NONE = 1 << 40
@@ -149,12 +149,21 @@ class _Memory(dict):
     """Match -> packed ids."""
 
     def __init__(self, encoder: TreeEncoder):
-        self.encoder = encoder
+        self.encoder, self.held = encoder, 0
 
     def __missing__(self, match: str) -> bytes:
-        packed = self[match] = np.asarray(self.encoder.encode(match.encode()), "<u4").tobytes()
+        raw = match.encode()
+        packed = np.asarray(self.encoder.encode(raw), "<u4").tobytes()
+        if len(raw) <= LONGEST:
+            self[match] = packed
+            self.held += ENTRY + len(raw) + len(packed)
         return packed
 
+    def trim(self) -> None:
+        if self.held > REMEMBERED:
+            self.clear()
+            self.held = 0
+
 
 def plain_pattern(pattern: str) -> str:
     """The pattern with its Unicode classes spelled out for the characters below PLAIN."""
@@ -187,7 +196,25 @@ def plain_pattern(pattern: str) -> str:
 _BLANKS = "\t\n\x0b\x0c\r \x85\xa0"
 
 
-class Codec:
+class Decoder:
+    """Packed ids back to bytes, concatenated up the tree."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = {i: b for b, i in ranks.items()}
+
+    def decode(self, packed: bytes) -> bytes:
+        ids = array("I")
+        ids.frombytes(packed)
+        return self._concatenated(ids)
+
+    def _concatenated(self, ids: array) -> bytes:
+        if len(ids) <= DECODE_LEAF:
+            return b"".join(map(self.tokens.__getitem__, ids))
+        half = len(ids) // 2
+        return self._concatenated(ids[:half]) + self._concatenated(ids[half:])
+
+
+class Codec(Decoder):
     """Whole texts to packed ids and back."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -197,30 +224,14 @@ class Codec:
         self.find_plain = re.compile(plain_pattern(pattern)).findall
         self.plain = re.compile(f"[^\\x00-{chr(PLAIN - 1)}]").search
         self.encoder = TreeEncoder(ranks)
+        self.tokens = self.encoder.tokens
         self.memory = _Memory(self.encoder)
 
     def encode(self, text: str) -> bytes:
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
+        self.memory.trim()
         find = self.find if self.plain(text) else self.find_plain
         return b"".join(map(self.memory.__getitem__, find(text)))
 
-    def decode(self, packed: bytes) -> bytes:
-        ids = array("I")
-        ids.frombytes(packed)
-        return self._concatenated(ids)
-
-    def _concatenated(self, ids: array) -> bytes:
-        if len(ids) <= DECODE_LEAF:
-            return b"".join(map(self.encoder.tokens.__getitem__, ids))
-        half = len(ids) // 2
-        return self._concatenated(ids[:half]) + self._concatenated(ids[half:])
-
-
-@lru_cache(maxsize=2)
-def _codec(content: bytes, pattern: str) -> Codec:
-    return Codec(read_ranks(content), pattern)
-
 
 def _shipped(df: DataFrame, path: str):
     """The vocabulary file's content, sent to each executor once; its size does not depend on the data."""
@@ -228,15 +239,22 @@ def _shipped(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds the packed ids of each whole text."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds the packed ids of each whole text; and, if `decoded` names a column, the bytes that these ids
+    decode to, by the same worker, so that there is one vocabulary in memory."""
     content = _shipped(df, ranks_path)
+    added = [T.StructField(c, T.BinaryType()) for c in (out, decoded) if c]
 
     def start():
-        codec = _codec(content.value, pattern)
-        return lambda batch: [pa.array([codec.encode(x) for x in texts_of(batch, text)], pa.binary())]
+        codec = Codec(read_ranks(content.value), pattern)
 
-    return add_columns(df, [T.StructField(out, T.BinaryType())], start)
+        def one(batch: pa.RecordBatch) -> list[pa.Array]:
+            packed = [codec.encode(x) for x in texts_of(batch, text)]
+            return [pa.array(x, pa.binary()) for x in ([packed, map(codec.decode, packed)] if decoded else [packed])]
+
+        return one
+
+    return add_columns(df, added, start)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -244,8 +262,8 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     content = _shipped(df, ranks_path)
 
     def start():
-        codec = _codec(content.value, pattern)
-        return lambda batch: [pa.array([codec.decode(x or b"") for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()], pa.binary())]
+        decoder = Decoder(read_ranks(content.value))
+        return lambda batch: [pa.array([decoder.decode(x or b"") for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()], pa.binary())]
 
     return add_columns(df, [T.StructField(out, T.BinaryType())], start)
 

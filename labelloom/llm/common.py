@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Rows that a Python operator handles at a time; only memory depends on it.
 SLICE_ROWS = 256
+#: Bytes of an Arrow batch between the JVM and a Python worker (one row at least); only memory depends on it.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     unset (local tests), a new local one, which is then set for this session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="labelloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -73,7 +79,35 @@ def map_slices(
                 else:
                     yield from out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow by batches of BATCH_BYTES, whose worker gives back what it held when the task ends: workers
+    serve many tasks, so what each kept would add up from stage to stage."""
+
+    def freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    spark = df.sparkSession
+    if int(spark.conf.get(_BATCH, str(BATCH_BYTES + 1)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(freeing, schema)
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def release() -> None:
+    """Hands freed memory back to the system."""
+    gc.enable()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def add_columns(
@@ -111,24 +145,32 @@ def fold_of(doc_id: str, mod: int):
 
 
 def bounded_sample(df: DataFrame, key: str, max_rows: int, by: str | None = None) -> DataFrame:
-    """At most max_rows rows (of each value of `by`), those of least hash of a key without nulls.
+    """At most max_rows rows (of each value of `by`), those of least hash of a key without nulls; equal keys
+    are in the order of their further columns, so a key repeated over and over stays within the bound.
 
     A count first sets the share of hashes that can matter, so what is sorted is bounded too, however
-    many rows there are; where the count is below max_rows, all rows stay.
+    many rows there are; where the count is below max_rows, all rows stay. The counts of `by` are broadcast
+    up to MAX_KEYS values; of more, each has few rows on average, and the join deals them out by value.
     """
     from pyspark.sql import Window
 
     place = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    order = [place, *[c for c in df.columns if c != by]]
     near = lambda n: F.lit(1.5 * max_rows + 100) / n * F.lit(float(1 << 40))
     if by is None:
         n = max(1, df.count())
-        return df.where(place <= near(F.lit(float(n)))).orderBy(F.xxhash64(key), key).limit(max_rows)
-    counts = df.groupBy(by).agg(F.count("*").alias("_all"))
-    few = df.join(counts, by).where(place <= near(F.col("_all"))).drop("_all")
-    w = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
+        return df.where(place <= near(F.lit(float(n)))).orderBy(*order).limit(max_rows)
+    counts = materialise(df.groupBy(by).agg(F.count("*").alias("_all")), "sample-counts")
+    sent = F.broadcast(counts) if counts.count() <= MAX_KEYS else counts
+    few = df.join(sent, by).where(place <= near(F.col("_all"))).drop("_all")
+    w = Window.partitionBy(by).orderBy(*order)
     return few.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_rows).drop("_n")
 
 
+#: Values whose counts are broadcast at most.
+MAX_KEYS = 100_000
+
+
 def running_offsets(df: DataFrame, order: str, value: str, out: str, label: str) -> DataFrame:
     """df, written in ascending order, with the sum of `value` over all rows before each row as `out`.
 

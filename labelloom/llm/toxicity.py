@@ -9,9 +9,10 @@ The classifier is fitted on a bounded sample of labelled rows (`max_rows`, those
 are chosen and weighed on that sample. Scoring covers every whole text.
 
 Defined results: a null text counts as empty; a text without a known feature scores by the intercept; with
-no labelled row at all every score is 0; labelled rows without a document, without a label or with a null
-id are left out; repeated rows count each; an empty table gives an empty table; an input column named as an
-output column is replaced, all others pass through.
+no labelled row, or none of label 1, every score is that of 30 below even odds (9e-14), with none of label 0
+that of 30 above; labelled rows without a document, without a label or with a null id are left out; of several
+texts of one id the least is learned from, once for each of its labels; repeated rows score alike; an empty
+table gives an empty table; an input column named as an output column is replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from labelloom.llm.common import add_columns, bounded_sample, map_slices, materialise, texts_of
+from labelloom.llm.common import add_columns, bounded_sample, map_arrow, map_slices, materialise, texts_of
 
 #: Labelled rows that are fitted on at most; features kept at most.
 MAX_ROWS, MAX_FEATURES = 20_000, 8_192
@@ -181,16 +182,16 @@ def _counted(rows: DataFrame) -> DataFrame:
                     waiting = 0
         yield from merged()
 
-    return rows.mapInArrow(run, _COUNTS).groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
+    return map_arrow(rows, run, _COUNTS).groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, counterfactual: float = 1.0) -> Model:
     """Fits on the labelled documents, of more than max_rows on those whose ids have the least hashes."""
     known = labels.where(F.col(id_).isNotNull() & F.col(label).isNotNull()).select(F.col(id_).alias("_id"), F.col(label).cast("int").alias("_label"))
     sample = bounded_sample(known, "_id", max_rows)
-    # at most max_rows rows of 12 bytes, so this side is small by its bound
-    rows = docs.select(F.col(id_).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_text", "_label")
-    rows = materialise(rows, "labelled-sample")
+    # at most max_rows rows of 12 bytes, so this side is small by its bound; the documents of one id count once
+    rows = docs.select(F.col(id_).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = materialise(rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).select("_text", "_label"), "labelled-sample")
     n, toxic = rows.agg(F.count("*"), F.count_if(F.col("_label") > 0)).first()
     if toxic in (0, n):
         return Model(np.zeros(0, np.int64), np.zeros(0), 30.0 if toxic else -30.0)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelloom.llm.common import add_columns, materialise, texts_of
+from labelloom.llm.common import add_columns, map_arrow, materialise, texts_of
 
 #: Rules (a host's skeletons) that are sent to the executors at once at most.
 MAX_RULES = 50_000
@@ -398,7 +398,7 @@ def summed_skeletons(pages: DataFrame, url: str, html: str) -> DataFrame:
         if held:
             yield from out()
 
-    parts = pages.select(url, html).mapInArrow(run, _PART)
+    parts = map_arrow(pages.select(url, html), run, _PART)
 
     def merged(group: pa.Table) -> pa.Table:
         rows = group.select(["pages", "texts", "chars"]).to_pylist()
