@@ -12,18 +12,24 @@ already in one component need no comparison, so a dense group costs little, and
 components leave a bucket: fewer than its members. A bucket of very many fingerprints goes to several
 tasks, a pair of its blocks to each.
 
-Wide fingerprints (`wide_components`) have 512 bits, of which the share that differs follows the
-similarity of the shingle vectors closely: at a Jaccard similarity of 0.8 about 0.15 of them differ. Their
-buckets come from sampled bits, as many as keep buckets small at the given number of fingerprints, and as
-many samples as find a pair at that similarity with 0.99 probability; the comparison is the same.
+Near-duplicates by Jaccard similarity (`near_components`) go the same way with wide fingerprints, of 256 bits
+over a text's distinct shingles, of which the share that differs follows the similarity: at 0.8 about 0.15.
+Their buckets are agreements of several least shingle hashes, which two texts have with a probability that
+depends on their similarity alone, not on how many texts there are: BANDS buckets of ROWS hashes find a pair
+at 0.8 with a probability of 0.99, one at 0.9 with 0.99999. Within buckets the bit-sliced comparison links at
+a radius well beyond the similarity; the groups that it gives are then gone through once more, with the
+shingle sets at hand, and only pairs whose sets have the similarity link.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any
 other; a text of fewer words than a shingle is one shingle; repeated rows get the same component; an
-empty table gives an empty table; null ids are kept, and never name a component unless it has no other.
+empty table gives an empty table; null ids are kept, and never name a component unless it has no other; only
+the named columns are read, so further ones cannot clash.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelloom.llm.common import add_columns, map_slices, materialise
+from labelloom.llm.common import add_columns, map_arrow, map_slices, materialise, texts_of
 from labelloom.llm.components import connected
 
 BITS = 64
@@ -164,9 +170,9 @@ def _lanes(mask: np.ndarray) -> np.ndarray:
     return np.packbits(held, bitorder="little").view("<u8")
 
 
-def joining_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def joining_links(bucket: np.ndarray, fp: np.ndarray, radius: int, links: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For fingerprints in buckets (n, or n x words): places of links within the radius that span each
-    bucket's components."""
+    bucket's components; if `links` is given, only pairs of places that it confirms are links."""
     none = np.zeros(0, np.int64)
     if len(fp) < 2:
         return none, none
@@ -204,7 +210,7 @@ def joining_links(bucket: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.n
         joined = False
         for i in (words[w] * 64 + lane).tolist():
             a, b = root(i), root(i + shift)
-            if a != b:
+            if a != b and (links is None or links(int(order[i]), int(order[i + shift]))):
                 parent[max(a, b)] = min(a, b)
                 out.append((i, i + shift))
                 joined = True
@@ -232,24 +238,25 @@ def _band_keys(fp: Column, bands: int) -> Column:
 _FOUND = T.StructType([T.StructField(c, T.LongType()) for c in ("later", "a", "b")])
 
 
-def _compare_sorted(rows: DataFrame, radius: int, at_once: int, split_above: int | None) -> DataFrame:
-    """Rows (key, node) or (key, node, fp), each key within one partition and in order; without fp, node is
-    the fingerprint. Gives links between nodes (later null), and the members of buckets above split_above
-    (later = key, a = node)."""
-    wide = len(rows.columns) > 2
+def _compare_sorted(rows: DataFrame, radius: int, at_once: int, split_above: int | None, similarity: float | None = None) -> DataFrame:
+    """Rows (key, node), (key, node, fp) or (key, node, fp, shingles), each key within one partition and in
+    order; without fp, node is the fingerprint. Gives links between nodes (later null), and the members of
+    buckets above split_above (later = key, a = node). With shingles, links must have the similarity too."""
+    wide, sets = len(rows.columns) > 2, len(rows.columns) > 3
 
     def batch_of(later, a, b) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([later, pa.array(a), b], names=_FOUND.names)
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
-        waiting, deferred = 0, None  # deferred: the key of a bucket too large, of which rows still come
+        held: list[tuple] = []
+        waiting, size, deferred = 0, 0, None  # deferred: the key of a bucket too large, of which rows still come
 
         def flush(last: bool):
-            nonlocal held, waiting, deferred
+            nonlocal held, waiting, size, deferred
             if not waiting:
                 return
-            key, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, node, fp = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
+            shingles = [x for h in held for x in h[3]]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[first, len(key)])
             large = (sizes > split_above) | (key[first] == deferred) if split_above is not None else np.zeros(len(first), bool)
@@ -259,32 +266,37 @@ def _compare_sorted(rows: DataFrame, radius: int, at_once: int, split_above: int
             if off.any():
                 yield batch_of(pa.array(key[off]), node[off], pa.nulls(int(off.sum()), pa.int64()))
             use = np.flatnonzero(~off[:stop])
-            i, j = joining_links(key[use], fp[use], radius)
+            own = [np.frombuffer(shingles[k], "<u8") for k in use] if sets else []
+            i, j = joining_links(key[use], fp[use], radius, (lambda a, b: jaccard(own[a], own[b]) >= similarity) if sets else None)
             if len(i):
                 yield batch_of(pa.nulls(len(i), pa.int64()), node[use[i]], pa.array(node[use[j]]))
-            held, waiting = [(key[stop:], node[stop:], fp[stop:])], len(key) - stop
+            held, waiting = [(key[stop:], node[stop:], fp[stop:], shingles[stop:])], len(key) - stop
+            size = sum(map(len, shingles[stop:]))
 
-        grow = at_once
+        grow, most = at_once, SET_BYTES
         for batch in batches:
             key, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             if wide:
                 fp = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, -1)
             else:
                 fp = node.view(np.uint64)
-            held.append((key, node, fp))
+            shingles = batch.column(3).to_pylist() if sets else []
+            held.append((key, node, fp, shingles))
             waiting += batch.num_rows
-            if waiting >= grow:
+            size += sum(map(len, shingles))
+            if waiting >= grow or size >= most:
                 yield from flush(False)
-                grow = max(at_once, 2 * waiting)
+                grow, most = max(at_once, 2 * waiting), max(SET_BYTES, 2 * size)
         yield from flush(True)
 
-    return rows.mapInArrow(run, _FOUND)
+    return map_arrow(rows, run, _FOUND)
 
 
-def _links(keyed: DataFrame, prints: DataFrame | None, radius: int, at_once: int, split_above: int) -> DataFrame:
-    """keyed: (key, node) or (key, node, fp); prints: (node, fp), where fp is not the node itself."""
+def _links(keyed: DataFrame, prints: DataFrame | None, radius: int, at_once: int, split_above: int, similarity: float | None = None) -> DataFrame:
+    """keyed: (key, node) and what _compare_sorted takes further; prints: the further columns by node, where
+    there are any."""
     dealt = keyed.repartition("key").sortWithinPartitions("key")
-    found = materialise(_compare_sorted(dealt, radius, at_once, split_above), "near")
+    found = materialise(_compare_sorted(dealt, radius, at_once, split_above, similarity), "near")
     links, later = found.where("later is null").select("a", "b"), found.where("later is not null").select(F.col("later").alias("key"), F.col("a").alias("node"))
     if later.limit(1).count() == 0:
         return links
@@ -293,9 +305,9 @@ def _links(keyed: DataFrame, prints: DataFrame | None, radius: int, at_once: int
     spread = member.select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     task = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     again = spread.select(task.alias("key"), "node")
-    again = again if prints is None else again.join(prints, "node").select("key", "node", "fp")
+    again = again if prints is None else again.join(prints, "node").select(*keyed.columns)
     again = again.repartition("key").sortWithinPartitions("key")
-    return links.union(materialise(_compare_sorted(again, radius, at_once, None), "near-split").select("a", "b"))
+    return links.union(materialise(_compare_sorted(again, radius, at_once, None, similarity), "near-split").select("a", "b"))
 
 
 def links_within(fps: DataFrame, fp: str, radius: int = 4, at_once: int = AT_ONCE, split_above: int = SPLIT_ABOVE) -> DataFrame:
@@ -320,56 +332,122 @@ def _named(prints: DataFrame, rooted: DataFrame) -> DataFrame:
     return prints.join(of_print, "fp")
 
 
-#: Words of a wide fingerprint; the share of differing bits up to which two link, and the share at the
-#: similarity of 0.8 for which bits are sampled; the probability of finding such a pair; bucket size aimed at.
-WIDE, WIDE_SHARE, SAMPLED_SHARE, FOUND, BUCKET = 8, 0.17, 0.151, 0.99, 32
-#: Wide fingerprints that a task compares at once, and those of one bucket above which it is split up.
-WIDE_AT_ONCE, WIDE_SPLIT_ABOVE = 100_000, 30_000
+#: Words of a wide fingerprint; the share of differing bits up to which two are compared by their shingles (at
+#: a similarity of 0.8 it is 0.15 with a deviation of 0.022); buckets of a text, and least hashes of each.
+WIDE, WIDE_SHARE, BANDS, ROWS = 4, 0.25, 12, 5
+SIMILARITY = 0.8
+#: Wide fingerprints that a task compares at once, and those of one bucket above which it is split up; bytes of
+#: shingle sets that a task holds at once, and sets of one group above which it is split up.
+WIDE_AT_ONCE, WIDE_SPLIT_ABOVE, SET_BYTES, SETS_SPLIT_ABOVE = 100_000, 30_000, 48 << 20, 4_000
+_FACTORS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sampled_bits(n: int, width: int = WIDE) -> list[np.ndarray]:
-    """For n fingerprints, the bits that each sample takes."""
-    k = max(8, int(np.log2(max(2, n))) - int(np.log2(BUCKET)))
-    tables = int(np.ceil(np.log(1 - FOUND) / np.log1p(-((1 - SAMPLED_SHARE) ** k))))
-    rng = np.random.Generator(np.random.PCG64(5))
-    return [rng.choice(BITS * width, k, replace=False) for _ in range(tables)]
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two sorted sets; that of two empty ones is 1."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
+    return both / (len(a) + len(b) - both)
 
 
-def with_wide_fingerprint(df: DataFrame, text: str = "text", out: str = "fp", words: int = 5, width: int = WIDE) -> DataFrame:
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """The buckets of a set of shingle hashes: each is the number of a band and its least hashes, mixed."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[at : at + 1024, None] * _FACTORS).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        key = (key ^ least[k::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+_PRINTS = T.StructType([T.StructField(c, T.BinaryType()) for c in ("digest", "fp", "bands")])
+_KEYED = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType())])
+
+
+def _with_prints(df: DataFrame, words: int) -> DataFrame:
+    """Replaces _text by a digest of its shingle set, the wide fingerprint and the buckets."""
+
     def start():
-        def one(batch: pa.RecordBatch) -> list[pa.Array]:
-            column = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            return [pa.array([majority(shingle_hashes(x or "", words), width).tobytes() for x in column], pa.binary())]
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            digests, prints, bands = [], [], []
+            for x in texts_of(batch, "_text"):
+                own = shingle_set(x, words)
+                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest()), prints.append(majority(own, WIDE).tobytes()), bands.append(bands_of(own).tobytes())
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in (digests, prints, bands))], names=schema.names)
 
         return one
 
-    return add_columns(df, [T.StructField(out, T.BinaryType())], start)
+    schema = T.StructType([df.schema["_id"], df.schema["_sha"], *_PRINTS])
+    return map_slices(df.select("_id", "_sha", "_text"), schema, start)
 
 
-def _sampled_keys(prints: DataFrame, samples: list[np.ndarray]) -> DataFrame:
-    """(node, fp) -> (key, node, fp) for each sample of bits."""
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType())])
+def _keys(classes: DataFrame) -> DataFrame:
+    """(node, fp, bands) -> (key, node, fp) for each bucket."""
 
     def start():
         def one(batch: pa.RecordBatch):
             node, fp = batch.column(0), batch.column(1)
-            bits = np.unpackbits(np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1, bitorder="little")
-            for n, sample in enumerate(samples):
-                packed = bits[:, sample].astype(np.int64) @ (1 << np.arange(len(sample), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(packed | n << 48), node, fp], names=schema.names)
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i8").reshape(batch.num_rows, -1)
+            for k in range(keys.shape[1]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys[:, k])), node, fp], names=_KEYED.names)
 
         return one
 
-    return map_slices(prints, schema, start, rows=4096)
+    return map_slices(classes.select("node", "fp", "bands"), _KEYED, start, rows=4096)
+
+
+def _with_shingles(members: DataFrame, words: int) -> DataFrame:
+    """(key, node, fp, _text) -> (key, node, fp, shingles)."""
 
+    def start():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = pa.array([shingle_set(x, words).tobytes() for x in texts_of(batch, "_text")], pa.binary())
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], sets], names=schema.names)
+
+        return one
 
-def wide_components(df: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 5, share: float = WIDE_SHARE, at_once: int = WIDE_AT_ONCE, split_above: int = WIDE_SPLIT_ABOVE) -> DataFrame:
-    """All rows as (id, component_id), linked where at most `share` of 512 bits differ."""
-    prints = materialise(with_wide_fingerprint(df.select(F.col(id_).alias("_id"), F.col(text).alias("_text")), "_text", "fp", words).select("_id", "fp"), "wide-prints")
-    least = prints.groupBy("fp").agg(F.min("_id").alias("least"))
-    distinct = materialise(least.withColumn("node", F.xxhash64("fp")), "distinct-wide-prints")
-    nodes = distinct.select("node", "fp")
-    keyed = _sampled_keys(nodes, sampled_bits(distinct.count()))
-    found = connected(_links(keyed, nodes, int(share * BITS * WIDE), at_once, split_above), "a", "b")
-    rooted = distinct.join(found, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
-    return _named(prints, rooted).select(F.col("_id").alias(id_), "component_id")
+    schema = T.StructType([*_KEYED, T.StructField("shingles", T.BinaryType())])
+    return map_slices(members.select("key", "node", "fp", "_text"), schema, start)
+
+
+def identified(df: DataFrame, id_: str, text: str) -> DataFrame:
+    """df with `_id` and `_sha`, which tell different texts of one id apart."""
+    return df.withColumns({"_id": F.col(id_), "_sha": F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))})
+
+
+def near_components(df: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 5, similarity: float = SIMILARITY, split_above: int = WIDE_SPLIT_ABOVE, sets_split_above: int = SETS_SPLIT_ABOVE) -> DataFrame:
+    """For each text of an id (`_id`, `_sha`) the least such pair, by id, that links reach (`least`); texts link
+    if their sets of word shingles have the similarity. Nulls as ids come last."""
+    docs = identified(df, id_, text).select("_id", "_sha", F.col(text).alias("_text"))
+    prints = materialise(_with_prints(docs, words), "wide-prints")
+    who = F.struct(F.col("_id").isNull().alias("none"), "_id", "_sha")
+    classes = prints.groupBy("digest").agg(F.min(who).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "wide-classes")  # numbers are fixed by writing
+    nodes = classes.select("node", "fp")
+    radius = int(WIDE_SHARE * BITS * WIDE)
+    groups = connected(_links(_keys(classes), nodes, radius, WIDE_AT_ONCE, split_above), "a", "b")
+    members = classes.select("node", "fp", "least.*").join(groups.select("node", F.col("root").alias("key")), "node")
+    same = members["_id"].eqNullSafe(docs["_id"]) & (members["_sha"] == docs["_sha"])
+    sets = _with_shingles(docs.join(members, same).select("key", "node", "fp", "_text"), words)
+    sets = materialise(sets.dropDuplicates(["node"]), "wide-shingles")
+    links = _links(sets, sets.select("node", "fp", "shingles"), radius, WIDE_AT_ONCE, sets_split_above, similarity)
+    rooted = classes.select("digest", "least", "node").join(connected(links, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    of_digest = rooted.join(names, "root").select("digest", F.struct("first._id", "first._sha").alias("least"))
+    return prints.select("_id", "_sha", "digest").join(of_digest, "digest").select("_id", "_sha", "least")
+
+
+def representatives(df: DataFrame, id_: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """One row of each group of near-duplicates: that of the least id (and text hash), of rows that repeat it
+    one. Rows without an id all stay."""
+    found = near_components(df, id_, text, **more)
+    first = found.where((F.col("_id") == F.col("least._id")) & (F.col("_sha") == F.col("least._sha"))).select("_id", "_sha").distinct()
+    marked = identified(df, id_, text)
+    kept = marked.where("_id is not null").join(first, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"])
+    return kept.unionByName(marked.where("_id is null")).select(*df.columns)

@@ -89,20 +89,46 @@ def test_components(spark, sf_dir, docs, empty):
         assert got[i] == (fp[k] - (1 << 64) * (fp[k] >> 63), texts[want[k]][0])
     odd = S.components(docs).collect()
     assert len(odd) == docs.count() and {r["component_id"] for r in odd if r["doc_id"] in (0, 1, 2)} == {0}
-    assert S.components(empty).count() == 0 and S.wide_components(empty).count() == 0
+    assert S.components(empty).count() == 0 and S.near_components(empty).count() == 0
 
 
-def test_wide_components_follow_similarity(spark):
+def similar_rows(groups: int) -> list[tuple[int, str]]:
+    """Groups of texts of 200 words with 1 to 9 substituted words each: similarities from 0.5 to 1."""
     rng = np.random.default_rng(5)
-    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
-    rows, want = [], {}
-    for g in range(30):
-        base = word(200)
-        for c in range(4):
+    rows = []
+    for _ in range(groups):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for c in range(6):
             copy = list(base)
-            for p in rng.choice(200, c, replace=False):  # at most 3 of 200 words: a similarity of 0.85 and more
+            for p in rng.choice(200, 2 * c, replace=False):
                 copy[p] = f"x{rng.integers(0, 10**6)}"
-            want[len(rows)] = 4 * g
             rows.append((len(rows), " ".join(copy)))
-    got = {r["doc_id"]: r["component_id"] for r in S.wide_components(spark.createDataFrame(rows, "doc_id long, text string"), at_once=50, split_above=40).collect()}
-    assert got == want
+    return rows
+
+
+@pytest.mark.parametrize("split_above", [30_000, 4])
+def test_near_components_by_brute_force(spark, split_above):
+    """No link below the similarity of 0.8; of the pairs from 0.8 on, at least 0.95 are found (here those of 0.8 to 0.85 alone)."""
+    rows = similar_rows(60)
+    sets = {i: S.shingle_set(t, 5) for i, t in rows}
+    near = [(i, j, s) for i in sets for j in range(i - i % 6, i) if (s := S.jaccard(sets[i], sets[j])) >= 0.8]
+    want = roots(len(rows), [(i, j) for i, j, _ in near])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["_id"]: r["least"]["_id"] for r in S.near_components(table, split_above=split_above, sets_split_above=split_above).collect()}
+    assert all(want[i] == want[g] for i, g in got.items())
+    close = [(i, j) for i, j, s in near if s < 0.85]
+    assert len(close) > 30 and sum(got[i] == got[j] for i, j in close) >= 0.95 * len(close)
+    assert sum(got[i] == got[j] for i, j, _ in near) >= 0.99 * len(near)
+
+
+def test_different_texts_of_one_id_both_stay(spark):
+    rows = [(1, "one two three four five six", "a"), (1, "something else altogether it is here", "b"), (1, "one two three four five six", "c"), (2, "one two three four five six", "d"), (None, "one two three four five six", "e")]
+    kept = S.representatives(spark.createDataFrame(rows, "doc_id long, text string, _sha string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:3]) for r in kept) == [(0, "one"), (1, "one"), (1, "som")] and len(kept[0]) == 3
+
+
+def test_bands():
+    a = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert S.bands_of(a).tolist() == S.bands_of(a.copy()).tolist() and len(set(S.bands_of(a).tolist())) == S.BANDS
+    assert not set(S.bands_of(a).tolist()) & set(S.bands_of(a[:10] + np.uint64(5)).tolist())
+    assert S.jaccard(np.arange(8), np.arange(10)) == 0.8 and S.jaccard(a[:0], a[:0]) == 1 and S.jaccard(a[:0], a[:3]) == 0
