@@ -10,7 +10,7 @@ from labelloom.llm import token_store as S
 
 PATH = P.path("word_bpe_49k.json")
 CONTENT = open(PATH, encoding="utf-8").read()
-ENCODER = S.WordEncoder(CONTENT, 2, S.blanks_part(CONTENT))
+ENCODER = S.WordEncoder(CONTENT, 2, S.words_expression(CONTENT))
 THEIRS = Tokenizer.from_str(CONTENT)
 PIECES = ["a", "The", "é", "É", "İ", "Σ", "ß", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "1", "'s", "'S", "!!", "<", "<|startoftext|>", "<|ENDOFTEXT|>", "你好", "😀", "é", "Å", "ǅ", "ſ", "-", "_", ".", ",", "word,"]
 
@@ -43,6 +43,22 @@ def test_joined_crc(parts):
     assert crc == zlib.crc32(whole)
 
 
+@given(st.lists(st.lists(st.binary(max_size=300), min_size=1, max_size=6), max_size=5))
+def test_crc_of_parts(rows):
+    for r in rows:
+        sizes = np.array([len(p) for p in r], np.int64)
+        after = sizes.sum() - np.cumsum(sizes)
+        got = S.crc32_before(np.array([zlib.crc32(p) for p in r], np.int64), after)
+        assert int(np.bitwise_xor.reduce(got)) == zlib.crc32(b"".join(r))
+
+
+def test_cuts_of_many_are_those_of_each():
+    rng = np.random.default_rng(3)
+    streams = [rng.integers(0, 49_000, n) for n in (0, 1, 70, 5000, 0, 300, 9000)]
+    bounds = np.cumsum([0, *map(len, streams)]).tolist()
+    assert S.cuts_of_many(np.concatenate(streams), bounds) == [S.cuts(s) for s in streams]
+
+
 def test_merkle_root_notices_changes():
     leaves = [bytes([k]) * 16 for k in range(5)]
     assert S.merkle_root(leaves) != S.merkle_root(leaves[::-1])
@@ -65,7 +81,9 @@ def test_store(spark, docs, empty):
         assert zlib.crc32(np.frombuffer(w["ids"], "<u2").astype("<u4").tobytes()) == g["ids_crc32"]
         start += g["n_tokens"]
     chunks = store.read(spark, "chunks")
-    assert chunks.count() == chunks.select("hash").distinct().count() == store.read(spark, "recipes").select("hash").distinct().count()
+    assert chunks.count() == chunks.select("hash").distinct().count() == store.read(spark, "manifest").selectExpr("explode(hashes) h").distinct().count()
+    in_files = [r[0] for r in store.read(spark, "manifest").coalesce(1).select("doc_id").collect()]
+    assert sorted(in_files, key=lambda x: (x is not None, x or 0)) == [r["doc_id"] for r in rows]
     assert S.verified(spark, S.write_store(empty, PATH, 2)).count() == 0
 
 
@@ -75,6 +93,5 @@ def test_damage_is_found(spark, docs):
     from pyspark.sql import functions as F
 
     store.read(spark, "chunks").withColumn("ids", F.expr("if(octet_length(ids) > 1000, concat(ids, ids), ids)")).write.parquet(f"{bad.path}/chunks")
-    for name in ("recipes", "manifest"):
-        store.read(spark, name).write.parquet(f"{bad.path}/{name}")
+    store.read(spark, "manifest").write.parquet(f"{bad.path}/manifest")
     assert 0 < S.verified(spark, bad).where("NOT intact").count() < docs.count()
