@@ -10,7 +10,7 @@ The counts come from a bounded sample of labelled documents (`max_rows`, those o
 language). Prediction covers every whole text.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without any learned language
-every text is `und`; ties go to the language first by name; repeated rows get the same result; an empty
+every text is `und`; of several texts of one id and language the least is learned from; ties go to the language first by name; repeated rows get the same result; an empty
 table gives an empty table; an input column named as an output column is replaced, all others pass through.
 """
 
@@ -32,7 +32,9 @@ MAX_ROWS, BUCKETS = 4_000, 1 << 16
 #: Characters of a stretch; rounds of expectation-maximisation; log-likelihood that a further language must add.
 STRETCH, ROUNDS, PENALTY = 40, 12, 6.0
 UNKNOWN = "und"
-_KEPT = re.compile(r"[^\W\d_]+")
+#: Runs of letters: word characters that are neither digits nor other numbers (as ², ½ and Ⅷ are).
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_KEPT = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def letters_of(text: str) -> str:
@@ -78,7 +80,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_: str = "d
     ids = drawn.select("_id").distinct()
     n_languages = known.select(lang).distinct().count()
     sample = known.select(F.col(id_).alias("_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sample = sample.join(F.broadcast(ids) if n_languages * max_rows <= 1 << 20 else ids, "_id", "left_semi").select("lang", "text")
+    sample = sample.join(F.broadcast(ids) if n_languages * max_rows <= 1 << 20 else ids, "_id", "left_semi")
+    sample = sample.groupBy("_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def start():
         def one(batch: pa.RecordBatch):
