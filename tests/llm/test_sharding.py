@@ -14,6 +14,20 @@ def test_rows_law(docs, empty):
     assert sharding.write_shards(empty, 4).count() == 0
 
 
+def test_files_of_a_shard_hold_it_in_order(spark, tmp_path):
+    from labelloom.llm.common import shared_dir
+
+    docs = spark.range(1000).selectExpr("id AS doc_id", "repeat('x', 100) AS text")
+    out = sharding.write_shards(docs, 7)
+    ranges: dict[int, list] = {}
+    for name in out.inputFiles():
+        slots = [r["slot"] for r in spark.read.parquet(name).collect()]
+        assert slots == list(range(slots[0], slots[0] + len(slots)))
+        ranges.setdefault(int(name.split("shard=")[1].split("/")[0]), []).append((slots[0], len(slots)))
+    assert len(ranges) == 7 and shared_dir(spark) in out.inputFiles()[0].replace("file:///", "file:///")
+    assert all(sum(n for _, n in r) in (142, 143) for r in ranges.values())
+
+
 def test_order_does_not_depend_on_the_input(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     a = {r["doc_id"]: r["place"] for r in sharding.shuffled(docs, bucket_bytes=10_000).collect()}
