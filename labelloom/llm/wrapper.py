@@ -1,27 +1,36 @@
 """HTML extraction by wrapper induction.
 
 A page becomes a DOM tree of labelled nodes (tag, with the class and id words of containers), in which
-runs of sibling blocks with one label are folded. Pages of one host that have the same folded tree share a
-skeleton, and for each of its nodes it is known whether its own text is the same on all of them. The
-skeletons of a host are then aligned by simple tree matching, the most frequent first, into one wrapper:
-aligned nodes whose text stays constant over pages are template, the others are varying slots. The slot
-region with the most varying text, outside the parts that by their tag, role or class are menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or comments, is the content.
+flow elements of one label and parent, and adjacent containers of one label and make, are folded into one.
+Pages of one host that have the same folded tree share a skeleton, and for each of its nodes it is known
+whether its own text is the same on all of them. The skeletons of a host are aligned by simple tree matching
+into one wrapper: aligned nodes whose text stays constant over pages are template, whatever their tag, the
+others are varying slots. The content is where the varying text is: from the root down, the region goes to the
+child that holds most of it, until text stands beside it or no child has a majority. Parts that by their tag,
+role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments are
+never content; article and main (or such a role or class) only settle what the varying text leaves open.
 
 Every page takes part in its host's wrapper. Skeletons are summed within tasks, then for each host and
-skeleton, then for each host, so a host with a third of all pages is a table of its skeletons by then.
-Their rules reach the pages in one broadcast up to `MAX_RULES` of them, and by a join beyond.
+skeleton. Wrappers grow as a tree: groups of at most about `FAN` of a host's skeletons are merged, then groups of
+what these gave, until a host has one; so no host is one task. Each skeleton is then laid along its host's
+wrapper. The rules that follow (a digest of the skeleton and its content nodes) reach the pages in one broadcast
+up to `MAX_RULES` bytes of them, and by a join beyond.
 
 Defined results: null or empty html gives the empty text; a page without an article, main or other content
 region gives the text of its body outside those parts; unclosed and stray tags are mended as browsers
 do; a host with one page has nothing to compare, so only tags, roles and classes decide; pages of any
 length are read whole; an url without a host is a host of its own; repeated rows count each; an empty
-table gives an empty table; an input column named as an output column is replaced, all others pass.
+table gives an empty table; an input column named as an output column (or `_host`, `_skeleton`, `_kept`) is
+replaced, all others pass. Of regions with equally much varying text the first on the page is taken; where
+nothing varies on a host, all its text counts and none is template; a tag with an unclosed quote ends at its
+first `>`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -30,16 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelloom.llm.common import add_columns, map_arrow, materialise, texts_of
+from labelloom.llm.common import add_columns, map_arrow, map_slices, materialise, texts_of
 
-#: Rules (a host's skeletons) that are sent to the executors at once at most.
-MAX_RULES = 50_000
+#: Bytes of rules that are sent to the executors at most; skeletons or wrappers that are merged at a time.
+MAX_RULES, FAN = 32 << 20, 64
 #: Elements nested deeper than this stand beside each other, as browsers put them.
 DEEPEST = 200
-#: Pages on which a single node's text must be the same to count as template.
-CONSTANT_PAGES = 3
+#: Pages on which a node's text must be the same to count as template; share of a region's varying text that a
+#: child must hold for the content to lie in it.
+CONSTANT_PAGES, MAJORITY = 3, 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(script|style|noscript|template|svg|math|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(script|style|noscript|template|svg|math|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^<>]*>|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
@@ -172,34 +182,45 @@ def tidy(text: str) -> str:
     return " ".join((entities.unescape(text) if "&" in text else text).split())
 
 
+_FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption".split())
+
+
 class Page:
     """A parsed page: its skeleton, and each text with the number of its node there (in order)."""
 
     def __init__(self, source: str):
         self.texts: list[tuple[int, str]] = []
         self.nodes: list[tuple[str, int]] = []  # of the skeleton, in preorder: marked label, parent
-        self._walk(parse(source))
+        self._index: dict[tuple, int] = {}
+        self._visit(parse(source), -1, 0)
         self.skeleton = "\n".join(f"{label}\t{parent}" for label, parent in self.nodes)
 
-    def _walk(self, root: Node) -> None:
-        """Adds the nodes to the skeleton, those of one label and parent once, and the texts in page order."""
-        index: dict[tuple[int, str], int] = {}
-
-        def visit(node: Node, above: int) -> None:
-            key = (above, node.label)
-            own = index.get(key)
-            if own is None:
-                own = index[key] = len(self.nodes)
-                self.nodes.append((("-" if node.barred else "+" if node.wanted else "=") + node.label, above))
-            elif not self.nodes[own][0].endswith("*"):
-                self.nodes[own] = (self.nodes[own][0] + "*", above)
-            for part in blocks_of(node):
-                if not isinstance(part, str):
-                    visit(part, own)
-                elif text := tidy(part):
+    def _visit(self, node: Node, above: int, run: int) -> None:
+        """Adds a node and what is in it. run: which run of equal containers under its parent it belongs to."""
+        parts = blocks_of(node)
+        make = None if node.tag in _FLOW else tuple(sorted({x.tag for x in parts if not isinstance(x, str)}))
+        key = (above, node.label, make, 0 if node.tag in _FLOW else run)
+        own = self._index.get(key)
+        if own is None:
+            own = self._index[key] = len(self.nodes)
+            self.nodes.append((("-" if node.barred else "+" if node.wanted else "=") + node.label, above))
+        elif not self.nodes[own][0].endswith("*"):
+            self.nodes[own] = (self.nodes[own][0] + "*", above)
+        before, run = None, 0
+        for part in parts:
+            if isinstance(part, str):
+                if text := tidy(part):
                     self.texts.append((own, text))
+                continue
+            if part.tag not in _FLOW:
+                like = (part.label, tuple(sorted({x.tag for x in part.parts if not isinstance(x, str) and x.block})))
+                run += before is not None and like != before
+                before = like
+            self._visit(part, own, run)
 
-        visit(root, -1)
+
+def digest(skeleton: str) -> bytes:
+    return hashlib.blake2b(skeleton.encode(), digest_size=16).digest()
 
 
 def host_of(url: str) -> str:
@@ -212,21 +233,32 @@ def host_of(url: str) -> str:
 
 @dataclass
 class Slot:
-    """A wrapper node. text: its constant text's hash, or None if it varies; chars: its characters, constant or not."""
+    """A node of a wrapper, or of a skeleton as a wrapper of its own. text: its constant text's hash, or None if it
+    varies; chars: its characters, constant or not; at: its number in the skeleton; kept: whether it is content."""
 
     label: str
     children: list
     pages: int
     text: int | None
     chars: float
-    members: list  # (skeleton, node)
+    at: int = -1
+    kept: bool = False
+
+    def packed(self) -> list:
+        return [self.label, self.pages, self.text, self.chars, int(self.kept), [c.packed() for c in self.children]]
 
+    @staticmethod
+    def unpacked(x: list) -> Slot:
+        return Slot(x[0], [Slot.unpacked(c) for c in x[5]], x[1], x[2], x[3], -1, bool(x[4]))
 
-def _tree(skeleton: int, nodes: list[tuple[str, int]], pages: int, texts: list, chars: list) -> Slot:
-    slots = [Slot(label.rstrip("*"), [], pages, t, c, [(skeleton, k)]) for k, ((label, _), t, c) in enumerate(zip(nodes, texts, chars, strict=True))]
-    for k, (_, parent) in enumerate(nodes):
-        if parent >= 0:
-            slots[parent].children.append(slots[k])
+
+def tree_of(skeleton: str, pages: int, texts: list, chars: list) -> Slot:
+    slots = []
+    for k, (line, text, n) in enumerate(zip(skeleton.split("\n"), texts, chars, strict=True)):
+        label, _, parent = line.rpartition("\t")
+        slots.append(Slot(label.rstrip("*"), [], pages, text, n, k))
+        if int(parent) >= 0:
+            slots[int(parent)].children.append(slots[k])
     return slots[0]
 
 
@@ -248,33 +280,49 @@ def _table(left: list[Slot], right: list[Slot], memory: dict) -> list[list[int]]
     return m
 
 
-def align(wrapper: Slot, other: Slot, memory: dict) -> None:
-    """Merges a tree into the wrapper along a largest matching; nodes without a partner are added in place."""
-    wrapper.text = wrapper.text if wrapper.text == other.text else None
-    wrapper.pages += other.pages
-    wrapper.chars += other.chars
-    wrapper.members += other.members
-    m = _table(wrapper.children, other.children, memory)
-    i, j, merged = len(wrapper.children), len(other.children), []
+def pairs(left: list[Slot], right: list[Slot], memory: dict) -> list[tuple[Slot | None, Slot | None]]:
+    """Two lists of children along a largest matching, in order; a child without a partner stands alone."""
+    m = _table(left, right, memory)
+    i, j, out = len(left), len(right), []
     while i or j:
         if i and m[i][j] == m[i - 1][j]:
             i -= 1
-            merged.append(wrapper.children[i])
+            out.append((left[i], None))
         elif j and m[i][j] == m[i][j - 1]:
             j -= 1
-            merged.append(other.children[j])
+            out.append((None, right[j]))
         else:
             i, j = i - 1, j - 1
-            align(wrapper.children[i], other.children[j], memory)
-            merged.append(wrapper.children[i])
-    wrapper.children = merged[::-1]
+            out.append((left[i], right[j]))
+    return out[::-1]
 
 
-_FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption".split())
+def align(wrapper: Slot, other: Slot, memory: dict) -> None:
+    """Merges a tree into the wrapper; nodes without a partner are added in place."""
+    wrapper.text = wrapper.text if wrapper.text == other.text else None
+    wrapper.pages += other.pages
+    wrapper.chars += other.chars
+    merged = []
+    for a, b in pairs(wrapper.children, other.children, memory):
+        if a is not None and b is not None:
+            align(a, b, memory)
+        merged.append(b if a is None else a)
+    wrapper.children = merged
+
+
+def merge(trees: list[Slot]) -> Slot:
+    wrapper = trees[0]
+    for tree in trees[1:]:
+        align(wrapper, tree, {})
+    return wrapper
 
 
-def decide(wrapper: Slot, n_skeletons: int) -> list[set[int]]:
-    """For each skeleton the nodes whose text is content."""
+def _name(slot: Slot) -> str:
+    return slot.label[1:].split(".")[0]
+
+
+def decide(wrapper: Slot) -> None:
+    """Marks the wrapper's content nodes."""
     weight: dict[int, float] = {}
 
     def weigh(slot: Slot, barred: bool, constant: bool) -> float:
@@ -285,63 +333,66 @@ def decide(wrapper: Slot, n_skeletons: int) -> list[set[int]]:
         weight[id(slot)] = total
         return total
 
-    if not weigh(wrapper, False, False):  # nothing varies: all text counts
+    nothing_varies = not weigh(wrapper, False, False)
+    if nothing_varies:  # all text counts
         weigh(wrapper, False, True)
-    regions: list[Slot] = []
 
-    def find(slot: Slot) -> None:
+    def marked(slot: Slot) -> list[Slot]:
         if slot.label[0] == "-":
-            return
+            return []
         if slot.label[0] == "+" and weight[id(slot)] > 0:
-            regions.append(slot)
-            return
-        for c in slot.children:
-            find(c)
-
-    find(wrapper)
-    articles = [r for r in regions if r.label[1:].split(".")[0] in CONTENT_TAGS]
-    chosen = articles or sorted(regions, key=lambda r: -weight[id(r)])[:1]
-    if chosen:
-        most = max(weight[id(r)] for r in chosen)
-        alike = max(chosen, key=lambda r: weight[id(r)]).label
-        chosen = [r for r in chosen if r.label == alike or weight[id(r)] >= 0.5 * most]
-    else:  # no marked region: the smallest that holds nearly all varying text
-        at = wrapper
-        while True:
-            into = [c for c in at.children if c.label[0] != "-" and weight[id(c)] >= 0.9 * weight[id(at)] > 0 and c.label[1:].split(".")[0] not in _FLOW]
-            if len(into) != 1:
-                break
-            at = into[0]
-        chosen = [at]
-    kept: list[set[int]] = [set() for _ in range(n_skeletons)]
+            return [slot]
+        return [x for c in slot.children for x in marked(c)]
+
+    at, regions = wrapper, []
+    while not regions:
+        inside = [c for c in at.children if c.label[0] != "-" and weight[id(c)] > 0]
+        boxes = [c for c in inside if _name(c) not in _FLOW]
+        best = max(boxes, key=lambda c: weight[id(c)], default=None)
+        beside = len(boxes) < len(inside)  # varying text of its own: this is where the content stands
+        if best is None or beside or at.label[0] == "+" and best.label[0] != "+":
+            regions = [at]
+        elif weight[id(best)] >= MAJORITY * weight[id(at)]:
+            at = best
+        else:  # open: tags settle it
+            found = marked(at)
+            found = [r for r in found if _name(r) in CONTENT_TAGS] or found
+            most = max((weight[id(r)] for r in found), default=0.0)
+            regions = [r for r in found if weight[id(r)] >= 0.5 * most] or [at]
 
     def take(slot: Slot, top: bool) -> None:
-        name = slot.label[1:].split(".")[0]
-        if slot.label[0] == "-" and name != "header":  # an article's own header holds its title
+        if slot.label[0] == "-" and _name(slot) != "header":  # an article's own header holds its title
             return
-        template = not top and name not in _FLOW and slot.text is not None and slot.pages >= CONSTANT_PAGES
-        if not template:
-            for skeleton, node in slot.members:
-                kept[skeleton].add(node)
+        slot.kept = nothing_varies or top or slot.text is None or slot.pages < CONSTANT_PAGES
         for c in slot.children:
             take(c, False)
 
-    for region in chosen:
+    for region in regions:
         take(region, True)
+
+
+def laid(wrapper: Slot, tree: Slot) -> set[int]:
+    """The content nodes of a skeleton that is laid along its host's wrapper."""
+    kept: set[int] = set()
+
+    def along(w: Slot | None, t: Slot, content: bool, memory: dict) -> None:
+        content = content and t.label[0] != "-" if w is None else w.kept
+        if content:
+            kept.add(t.at)
+        for a, b in pairs(w.children if w else [], t.children, memory):
+            if b is not None:
+                along(a, b, content, memory)
+
+    along(wrapper, tree, False, {})
     return kept
 
 
 def induce(skeletons: list[tuple[str, int, list, list]]) -> list[set[int]]:
     """One host's skeletons (text, pages, constant text hashes, mean characters), most frequent first ->
     each skeleton's content nodes."""
-    trees = []
-    for k, (text, pages, texts, chars) in enumerate(skeletons):
-        nodes = [(label, int(parent)) for label, _, parent in (line.rpartition("\t") for line in text.split("\n"))]
-        trees.append(_tree(k, nodes, pages, list(texts), list(chars)))
-    wrapper = trees[0]
-    for tree in trees[1:]:
-        align(wrapper, tree, {})
-    return decide(wrapper, len(trees))
+    wrapper = merge([tree_of(*x) for x in skeletons])
+    decide(wrapper)
+    return [laid(wrapper, tree_of(*x)) for x in skeletons]
 
 
 # ---- Spark
@@ -353,7 +404,7 @@ _PART = T.StructType([
     T.StructField("texts", T.ArrayType(T.LongType())),
     T.StructField("chars", T.ArrayType(T.DoubleType())),
 ])
-_RULE = T.StructType([T.StructField("host", T.StringType()), T.StructField("skeleton", T.StringType()), T.StructField("kept", T.ArrayType(T.IntegerType()))])
+_RULE = T.StructType([T.StructField("host", T.StringType()), T.StructField("skeleton", T.BinaryType()), T.StructField("kept", T.ArrayType(T.IntegerType()))])
 
 
 def _merge(into: list, pages: int, texts: list, chars: list) -> None:
@@ -401,35 +452,76 @@ def summed_skeletons(pages: DataFrame, url: str, html: str) -> DataFrame:
     parts = map_arrow(pages.select(url, html), run, _PART)
 
     def merged(group: pa.Table) -> pa.Table:
-        rows = group.select(["pages", "texts", "chars"]).to_pylist()
-        first = [None, rows[0]["pages"], rows[0]["texts"], rows[0]["chars"]]
-        for r in rows[1:]:
-            _merge(first, r["pages"], r["texts"], r["chars"])
-        return pa.Table.from_pydict({"host": group["host"][:1].to_pylist(), "skeleton": group["skeleton"][:1].to_pylist(), "pages": [first[1]], "texts": [first[2]], "chars": [first[3]]}, schema=_ARROW_PART)
+        total: list | None = None
+        for batch in group.select(["pages", "texts", "chars"]).to_batches(max_chunksize=1024):
+            for r in batch.to_pylist():
+                if total is None:
+                    total = [None, r["pages"], r["texts"], r["chars"]]
+                else:
+                    _merge(total, r["pages"], r["texts"], r["chars"])
+        return pa.Table.from_pydict({"host": group["host"][:1].to_pylist(), "skeleton": group["skeleton"][:1].to_pylist(), "pages": [total[1]], "texts": [total[2]], "chars": [total[3]]}, schema=_ARROW_PART)
 
     return parts.groupBy("host", "skeleton").applyInArrow(merged, _PART)
 
 
 _ARROW_PART = pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("pages", pa.int64()), ("texts", pa.list_(pa.int64())), ("chars", pa.list_(pa.float64()))])
-_ARROW_RULE = pa.schema([("host", pa.string()), ("skeleton", pa.string()), ("kept", pa.list_(pa.int32()))])
+_TREE = T.StructType([T.StructField("host", T.StringType()), T.StructField("tree", T.StringType())])
+_ARROW_TREE = pa.schema([("host", pa.string()), ("tree", pa.string())])
 
 
-def rules(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, skeleton) -> the skeleton's content nodes, from the wrapper of the host."""
+def wrappers(skeletons: DataFrame, fan: int = FAN) -> DataFrame:
+    """(host, skeleton, ...) -> (host, tree): each host's wrapper, merged as a tree of groups of about `fan`."""
 
-    def induced(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (-r["pages"], r["skeleton"]))
-        kept = induce([(r["skeleton"], r["pages"], r["texts"], r["chars"]) for r in rows])
-        return pa.Table.from_pydict({"host": [r["host"] for r in rows], "skeleton": [r["skeleton"] for r in rows], "kept": [sorted(k) for k in kept]}, schema=_ARROW_RULE)
+    def planted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        trees = [json.dumps(tree_of(r["skeleton"], r["pages"], r["texts"], r["chars"]).packed()) for r in batch.to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("host")), pa.array(trees, pa.string())], names=_TREE.names)
+
+    def merged(group: pa.Table) -> pa.Table:
+        trees = sorted((Slot.unpacked(json.loads(x)) for x in group["tree"].to_pylist()), key=lambda t: (-t.pages, json.dumps(t.packed())))
+        return pa.Table.from_pydict({"host": group["host"][:1].to_pylist(), "tree": [json.dumps(merge(trees).packed())]}, schema=_ARROW_TREE)
+
+    now = map_slices(skeletons, _TREE, lambda: planted)
+    left, level = skeletons.groupBy("host").agg(F.count("*").alias("_n")), 0
+    while True:
+        groups = left.select("host", F.ceil(F.col("_n") / fan).alias("_n"))
+        most = left.agg(F.max("_n")).first()[0] or 1
+        salted = now.join(groups, "host").withColumn("_group", F.pmod(F.xxhash64("tree", F.lit(level)), F.col("_n")))
+        now = materialise(salted.groupBy("host", "_group").applyInArrow(merged, _TREE), "wrappers")
+        if most <= fan:
+            return now
+        left, level = now.groupBy("host").agg(F.count("*").alias("_n")), level + 1
+
+
+def rules(pages: DataFrame, url: str = "url", html: str = "html", fan: int = FAN) -> DataFrame:
+    """(host, digest of a skeleton) -> the skeleton's content nodes, from the wrapper of the host."""
+    skeletons = materialise(summed_skeletons(pages, url, html), "skeletons")
+    joined = skeletons.join(wrappers(skeletons, fan), "host")
+
+    def start():
+        held: dict[str, Slot] = {}
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for r in batch.to_pylist():
+                if r["host"] not in held:
+                    held.clear()
+                    wrapper = held[r["host"]] = Slot.unpacked(json.loads(r["tree"]))
+                    decide(wrapper)
+                out.append(sorted(laid(held[r["host"]], tree_of(r["skeleton"], r["pages"], r["texts"], r["chars"]))))
+            skeleton = batch.column(batch.schema.get_field_index("skeleton")).to_pylist()
+            return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("host")), pa.array(map(digest, skeleton), pa.binary()), pa.array(out, pa.list_(pa.int32()))], names=_RULE.names)
+
+        return one
 
-    return summed_skeletons(pages, url, html).groupBy("host").applyInArrow(induced, _RULE)
+    return map_slices(joined, _RULE, start)
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text", max_rules: int = MAX_RULES) -> DataFrame:
     """Adds the main text of each page."""
     found = materialise(rules(pages, url, html), "wrapper-rules")
     added = [T.StructField(out, T.StringType())]
-    if found.count() <= max_rules:
+    size = found.agg(F.sum(F.octet_length("host") + 100 + 4 * F.size("kept"))).first()[0] or 0
+    if size <= max_rules:
         sent = pages.sparkSession.sparkContext.broadcast({(r[0], r[1]): frozenset(r[2]) for r in found.toLocalIterator()})
 
         def start():
@@ -437,7 +529,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
             return lambda batch: [pa.array([_text_by(Page(h), host_of(u), known) for u, h in zip(texts_of(batch, url), texts_of(batch, html), strict=True)], pa.string())]
 
         return add_columns(pages, added, start)
-    keyed = add_columns(pages, [T.StructField("_host", T.StringType()), T.StructField("_skeleton", T.StringType())], _keys(url, html))
+    keyed = add_columns(pages, [T.StructField("_host", T.StringType()), T.StructField("_skeleton", T.BinaryType())], _keys(url, html))
     joined = keyed.join(found.toDF("_host", "_skeleton", "_kept"), ["_host", "_skeleton"], "left").drop("_host", "_skeleton")
 
     def start_joined():
@@ -452,7 +544,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
 
 def _keys(url: str, html: str):
     def start():
-        return lambda batch: [pa.array([host_of(u) for u in texts_of(batch, url)], pa.string()), pa.array([Page(h).skeleton for h in texts_of(batch, html)], pa.string())]
+        return lambda batch: [pa.array([host_of(u) for u in texts_of(batch, url)], pa.string()), pa.array([digest(Page(h).skeleton) for h in texts_of(batch, html)], pa.binary())]
 
     return start
 
@@ -462,4 +554,4 @@ def _text(page: Page, kept: frozenset[int]) -> str:
 
 
 def _text_by(page: Page, host: str, known: dict) -> str:
-    return _text(page, known[host, page.skeleton])
+    return _text(page, known[host, digest(page.skeleton)])

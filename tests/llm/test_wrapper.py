@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 from labelloom.llm import wrapper as W
@@ -32,7 +33,7 @@ def test_region_found_by_alignment(spark):
 
 
 def test_simple_tree_matching():
-    slot = lambda label, *children: W.Slot("=" + label, list(children), 1, 0, 0.0, [])
+    slot = lambda label, *children: W.Slot("=" + label, list(children), 1, 0, 0.0)
     a = slot("a", slot("b", slot("d")), slot("c"))
     b = slot("a", slot("x"), slot("b", slot("d")), slot("c", slot("e")))
     assert W.matching(a, b, {}) == 4 and W.matching(a, slot("z"), {}) == 0
@@ -40,6 +41,61 @@ def test_simple_tree_matching():
     assert [c.label for c in a.children] == ["=x", "=b", "=c"] and a.pages == 2
 
 
+def most_pairs(a, b) -> int:
+    """The largest matching, by trying every one: each child of a with each later child of b, or with none."""
+    if a.label != b.label:
+        return 0
+
+    def best(left, right):
+        if not left or not right:
+            return 0
+        return max([best(left[1:], right)] + [most_pairs(left[0], right[j]) + best(left[1:], right[j + 1 :]) for j in range(len(right))])
+
+    return 1 + best(a.children, b.children)
+
+
+def test_matching_by_brute_force():
+    rng = random.Random(4)
+
+    def tree(depth: int):
+        return W.Slot("=" + rng.choice("ab"), [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else [], 1, 0, 0.0)
+
+    for _ in range(200):
+        a, b = tree(2), tree(2)
+        assert W.matching(a, b, {}) == most_pairs(a, b)
+
+
+NEUTRAL = re.compile(r"<(/?)(?:nav|article|footer|header|aside|section|main)\b[^>]*>")
+
+
+def test_neutral_tags_give_the_same_by_induction(spark, sf_dir):
+    """The test pages with every telling tag, class, id and role gone, and all pages on a few hosts: what varies
+    most over a host's pages is the content; a page alone does not show it."""
+    rows = [(r["page_id"], f"http://host{r['page_id'] % 4}/", r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    plain = [(k, u, re.sub(r' (?:class|id|role)="[^"]*"', "", NEUTRAL.sub(r"<\1div>", h))) for k, u, h in rows]
+    tagged, neutral = texts(spark, rows), texts(spark, plain)
+    assert sum(tagged[k] == neutral[k] for k in tagged) >= 0.98 * len(tagged)
+
+
+def test_constant_paragraph_is_template_and_siblings_are_not(spark):
+    notice = "This notice stands on every page of the host, in a plain paragraph of its own."
+    rows = [page(k, f"<div><div><p>{notice}</p></div><div><h2>Head {k}</h2><p>Text {k} goes on.</p><p>More {k}</p></div></div>") for k in range(5)]
+    assert texts(spark, rows) == {k: f"Head {k} Text {k} goes on. More {k}" for k in range(5)}
+    inside = [page(k, f"<article><h1>Head {k}</h1><blockquote>{notice}</blockquote><p>Text {k}</p></article>") for k in range(5)]
+    assert texts(spark, inside) == {k: f"Head {k} Text {k}" for k in range(5)}
+
+
+def test_wrappers_merge_as_a_tree(spark):
+    rows = [page(k, "".join(f"<div><h{1 + j % 3}>H{k}{j}</h{1 + j % 3}></div>" for j in range(k % 7)) + f"<div><h2>Head {k}</h2><p>Text of page {k}, longer than the others by far, {'so it goes on ' * 9}{k}.</p></div>") for k in range(30)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by_tree, at_once = ({(r[0], bytes(r[1])): tuple(r[2]) for r in W.rules(frame, fan=n).collect()} for n in (2, 64))
+    assert by_tree.keys() == at_once.keys() and sum(by_tree[k] == at_once[k] for k in by_tree) >= 0.8 * len(by_tree)
+
+
+def test_unclosed_quote(spark):
+    assert texts(spark, [(0, "u", 'a <a title="x>b</a> c')]) == {0: "a b c"}
+
+
 def test_test_pages(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in W.extract(rows).collect()}
