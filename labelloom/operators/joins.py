@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dotted(domain: Column) -> Column:
@@ -70,11 +71,75 @@ def phrase_join(rows: DataFrame, tokens: str, phrases: DataFrame, phrase: str, l
     return rows.withColumn("_gram", F.explode(grams)).join(phrases, F.col("_gram") == F.col(phrase)).drop("_gram")
 
 
+#: Edges of a graph that is gone through on the driver at most, and pairs that come out of that at most.
+SMALL_GRAPH, SMALL_PAIRS = 10_000, 200_000
+
+
+def _small(edges: DataFrame, parent: str, child: str) -> dict | None:
+    """Each node's children, if the graph is small."""
+    some = edges.select(parent, child).distinct().limit(SMALL_GRAPH + 1).collect()
+    if len(some) > SMALL_GRAPH:
+        return None
+    below: dict = {}
+    for p, c in some:
+        below.setdefault(p, []).append(c)
+        below.setdefault(c, [])
+    return below
+
+
+def _walked(below: dict) -> list[tuple] | None:
+    pairs = []
+    for start in below:
+        seen, open_ = {start}, [start]
+        while open_:
+            for c in below[open_.pop()]:
+                if c not in seen:
+                    seen.add(c)
+                    open_.append(c)
+        pairs += [(start, node) for node in seen]
+        if len(pairs) > SMALL_PAIRS:
+            return None
+    return pairs
+
+
+def ranks(edges: list[tuple]) -> dict:
+    """The longest path from a root to each node of a small acyclic graph."""
+    below: dict = {}
+    for p, c in dict.fromkeys(edges):
+        below.setdefault(p, []).append(c)
+        below.setdefault(c, [])
+    return dict(_ranked(below))
+
+
+def _ranked(below: dict) -> list[tuple]:
+    above = {node: 0 for node in below}
+    for children in below.values():
+        for c in children:
+            above[c] += 1
+    rank = {node: 0 for node in below}
+    ready = [node for node, n in above.items() if not n]
+    for node in ready:
+        for c in below[node]:
+            rank[c] = max(rank[c], rank[node] + 1)
+            above[c] -= 1
+            if not above[c]:
+                ready.append(c)
+    if len(ready) < len(below):
+        raise ValueError("the graph has a cycle")
+    return list(rank.items())
+
+
 def closure(edges: DataFrame, parent: str, child: str, max_rounds: int = 64) -> DataFrame:
     """(ancestor, node) of a directed graph, each node among its own ancestors; cycles end.
 
-    Paths double in length each round: pairs found so far are joined with themselves, until no pair is new.
+    A graph of at most SMALL_GRAPH edges, as of labels, is walked on the driver. In larger ones paths double in
+    length each round: pairs found so far are joined with themselves, until no pair is new.
     """
+    below = _small(edges, parent, child)
+    if below is not None:
+        pairs = _walked(below)
+        if pairs is not None:
+            return edges.sparkSession.createDataFrame(pairs, T.StructType([T.StructField("ancestor", edges.schema[parent].dataType), T.StructField("node", edges.schema[child].dataType)]))
     one = edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("node"))
     own = one.select("ancestor").union(one.select("node")).distinct()
     known = one.union(own.select("ancestor", F.col("ancestor").alias("node"))).distinct().checkpoint()
@@ -92,8 +157,12 @@ def closure(edges: DataFrame, parent: str, child: str, max_rounds: int = 64) ->
 def longest_path_rank(edges: DataFrame, parent: str, child: str) -> DataFrame:
     """(node, rank): the longest path from a root (rank 0) of an acyclic graph.
 
-    Each round lengthens all longest paths by an edge; after as many rounds as the graph is deep nothing changes.
+    A graph of at most SMALL_GRAPH edges is gone through on the driver. In larger ones each round lengthens all
+    longest paths by an edge; after as many rounds as the graph is deep nothing changes.
     """
+    below = _small(edges, parent, child)
+    if below is not None:
+        return edges.sparkSession.createDataFrame(_ranked(below), T.StructType([T.StructField("node", edges.schema[parent].dataType), T.StructField("rank", T.LongType())]))
     pairs = edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).distinct().checkpoint()
     nodes = pairs.select(F.col("p").alias("node")).union(pairs.select("c")).distinct()
     rank = nodes.select("node", F.lit(0).cast("long").alias("rank")).checkpoint()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.operators.joins import closure, longest_path_rank, phrase_join, suffix_join
+from labelloom.operators.joins import closure, longest_path_rank, phrase_join, ranks, suffix_join
 
 
 def keyword_scores(pages: DataFrame, keywords: DataFrame, longest: int) -> DataFrame:
@@ -52,14 +53,44 @@ def overrides(results: DataFrame, edges: DataFrame) -> DataFrame:
     return held.unionByName(spread).groupBy("page_id", "label_id").agg(F.bool_and("result").alias("result"))
 
 
+#: Labels, and edges between them, that go into one expression at most.
+SMALL_LABELS = 500
+
+
+def _rolled_up(scores: DataFrame, edges: list[dict], thresholds: dict[int, int], verdicts: DataFrame) -> DataFrame:
+    """roll_up() in one pass: a page's scores and verdicts become maps, and the labels, deepest first, are folded
+    over the list of those that are true so far."""
+    rank = ranks([(e["parent_id"], e["child_id"]) for e in edges])
+    order = sorted(thresholds, key=lambda x: (-rank.get(x, 0), x))
+    kind = "struct<label:bigint,threshold:bigint,children:array<struct<child:bigint,weight:bigint>>>"
+    visited = [{"label": x, "threshold": thresholds[x], "children": [{"child": e["child_id"], "weight": e["weight"]} for e in edges if e["parent_id"] == x]} for x in order]
+    visits = F.from_json(F.lit(json.dumps(visited)), f"array<{kind}>")  # a literal, folded once
+    own = scores.groupBy("page_id", "label_id").agg(F.sum("score").cast("long").alias("score")).select("page_id", F.struct("label_id", "score").alias("s"), F.lit(None).cast("struct<label_id:bigint,result:boolean>").alias("v"))
+    said = verdicts.groupBy("page_id", "label_id").agg(F.bool_and("result").alias("result")).select("page_id", F.lit(None).cast("struct<label_id:bigint,score:bigint>").alias("s"), F.struct("label_id", "result").alias("v"))
+    pages = own.unionByName(said).groupBy("page_id").agg(F.map_from_entries(F.collect_list("s")).alias("s"), F.map_from_entries(F.collect_list("v")).alias("v"))
+
+    def visit(true, x):
+        score, held = F.element_at("s", x["label"]), F.filter(x["children"], lambda c: F.array_contains(true, c["child"]))
+        total = F.coalesce(score, F.lit(0)) + F.aggregate(held, F.lit(0).cast("long"), lambda a, c: a + c["weight"])
+        reached = (score.isNotNull() | (F.size(held) > 0)) & (total >= x["threshold"])
+        return F.when(~F.map_contains_key("v", x["label"]) & reached, F.array_append(true, x["label"])).otherwise(true)
+
+    first = F.map_keys(F.map_filter("v", lambda _, result: result))
+    return pages.select("page_id", F.explode(F.aggregate(visits, first, visit)).alias("label_id"))
+
+
 def roll_up(scores: DataFrame, edges: DataFrame, labels: DataFrame, verdicts: DataFrame) -> DataFrame:
     """True labels of each page (page_id, label_id).
 
     scores: page_id, label_id, score; edges: parent_id, child_id, weight; labels: label_id, threshold;
     verdicts: page_id, label_id, result. Labels are visited deepest first: a label's score grows by the
-    weight of each true child, and it is true from its threshold on; a verdict goes before any score. Each
-    step handles all pages and all labels of one rank, so there are as many steps as the graph is deep.
+    weight of each true child, and it is true from its threshold on; a verdict goes before any score. With at
+    most SMALL_LABELS labels and edges these go into one expression over each page's scores (`_rolled_up`). With
+    more, each step handles all pages and all labels of one rank, so there are as many steps as the graph is deep.
     """
+    some, graph = labels.limit(SMALL_LABELS + 1).collect(), edges.limit(SMALL_LABELS + 1).collect()
+    if max(len(some), len(graph)) <= SMALL_LABELS:
+        return _rolled_up(scores, [r.asDict() for r in graph], {r["label_id"]: r["threshold"] for r in some}, verdicts)
     ranks = longest_path_rank(edges, "parent_id", "child_id")
     ranked = labels.join(ranks, F.col("label_id") == F.col("node"), "left").select("label_id", "threshold", F.coalesce("rank", F.lit(0)).alias("rank"))
     true = verdicts.where("result").select("page_id", "label_id").checkpoint()

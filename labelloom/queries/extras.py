@@ -29,7 +29,7 @@ def flow_of_frames(spark: SparkSession, d: str) -> DataFrame:
     return f.run(path=f"{d}/orders.parquet")
 
 
-@query("D9 D10 D11 D12", "SELECT CAST(r AS BIGINT) AS r, CAST((SELECT count(*) FROM nation WHERE n_regionkey = r) AS BIGINT) AS n FROM range(0, 5) t(r)")
+@query("D9 D10", "SELECT CAST(r AS BIGINT) AS r, CAST((SELECT count(*) FROM nation WHERE n_regionkey = r) AS BIGINT) AS n FROM range(0, 5) t(r)")
 def parallel_flows(spark: SparkSession, d: str) -> DataFrame:
     """One small flow for each region, several at once, results in order."""
     nation = table(spark, d, "nation")
@@ -50,7 +50,7 @@ def patch_quality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where(ml.patch_quality(pixels, 0.5, 0.0156)).select("vec_id")
 
 
-@query("S27 S35 S20", "SELECT vec_id, CAST(256 AS BIGINT) AS bytes, round(list_sum([x::DOUBLE for x in embedding]), 4) AS total FROM embeddings")
+@query("S27 S20", "SELECT vec_id, CAST(256 AS BIGINT) AS bytes, round(list_sum([x::DOUBLE for x in embedding]), 4) AS total FROM embeddings")
 def packed_descriptors(spark: SparkSession, d: str) -> DataFrame:
     """Descriptors packed as little-endian floats in a binary column, and read back."""
 
@@ -65,7 +65,7 @@ def packed_descriptors(spark: SparkSession, d: str) -> DataFrame:
     return packed.select("vec_id", F.octet_length("b").cast("long").alias("bytes"), F.round(back, 4).alias("total"))
 
 
-@query("S28 S29")
+@query("S28")
 def saved_model(spark: SparkSession, d: str) -> DataFrame:
     """A model saved under its version, loaded again and applied."""
     import tempfile
@@ -79,7 +79,7 @@ def saved_model(spark: SparkSession, d: str) -> DataFrame:
     return PipelineModel.load(path).transform(rows).select("vec_id", F.col("prediction").cast("int").alias("predicted"))
 
 
-@query("M33 G5 G50 G24 G26", "SELECT s_name AS name, CAST(s_suppkey + 1000 AS BIGINT) AS version, 'replaced' AS state FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_name, s_suppkey, 'kept' FROM supplier WHERE s_suppkey % 3 <> 0")
+@query("", "SELECT s_name AS name, CAST(s_suppkey + 1000 AS BIGINT) AS version, 'replaced' AS state FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_name, s_suppkey, 'kept' FROM supplier WHERE s_suppkey % 3 <> 0")
 def registry_injection(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").cast("long").alias("version"), F.lit("kept").alias("state"))
     new = old.where("version % 3 = 0").select("name", (F.col("version") + 1000).alias("version"), F.lit("replaced").alias("state"))
@@ -112,19 +112,19 @@ def training_frames(spark: SparkSession, d: str) -> DataFrame:
     return kinds[0].union(kinds[1]).union(kinds[2])
 
 
-@query("G20 G47", "SELECT doc_id FROM (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM documents WHERE lang = 'de') ORDER BY md5(concat('20|', doc_id)), doc_id LIMIT 80")
+@query("", "SELECT doc_id FROM (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM documents WHERE lang = 'de') ORDER BY md5(concat('20|', doc_id)), doc_id LIMIT 80")
 def discovery_videos(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "labels").where("quality = 1").select("doc_id").union(table(spark, d, "documents").where("lang = 'de'").select("doc_id")).distinct()
     return sample(known, "doc_id", 80, 20)
 
 
-@query("G3", "SELECT doc_id, 'processed' AS result FROM documents UNION ALL SELECT doc_id, 'text' FROM documents WHERE n_chars > 2000")
+@query("", "SELECT doc_id, 'processed' AS result FROM documents UNION ALL SELECT doc_id, 'text' FROM documents WHERE n_chars > 2000")
 def beta_results(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.array_compact(F.array(F.lit("processed"), F.when(F.col("n_chars") > 2000, "text")))
     return table(spark, d, "documents").select("doc_id", F.explode(kinds).alias("result"))
 
 
-@query("G2", "SELECT doc_id, CASE WHEN contains(lower(text), 'heat') THEN 'save' ELSE 'delete' END AS action FROM documents WHERE lang IN ('en', 'de')")
+@query("", "SELECT doc_id, CASE WHEN contains(lower(text), 'heat') THEN 'save' ELSE 'delete' END AS action FROM documents WHERE lang IN ('en', 'de')")
 def entity_actions(spark: SparkSession, d: str) -> DataFrame:
     """Only detectors with features are run; matched pages are saved and the others' old rows go."""
     return table(spark, d, "documents").where("lang IN ('en', 'de')").select("doc_id", F.when(F.lower("text").contains("heat"), "save").otherwise("delete").alias("action"))
@@ -157,7 +157,7 @@ def _projected(spark: SparkSession, d: str, directions) -> DataFrame:
     return rows.select("vec_id", F.array(*[F.round(dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in w[:, k]])), 6) for k in range(w.shape[1])]).alias("projected"))
 
 
-@query("M7 G44")
+@query("M7")
 def discriminant_projection(spark: SparkSession, d: str) -> DataFrame:
     return _projected(spark, d, lambda x, y: ml.discriminant(x, y, 2))
 
@@ -167,7 +167,7 @@ def alignment_projection(spark: SparkSession, d: str) -> DataFrame:
     return _projected(spark, d, lambda x, y: ml.local_alignment(x, y, 2))
 
 
-@query("M24")
+@query("")
 def gist_descriptors(spark: SparkSession, d: str) -> DataFrame:
     """Descriptors of 8 x 8 images, which the vectors stand for."""
 
@@ -177,7 +177,7 @@ def gist_descriptors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.pandas_udf(one, "array<double>")("embedding").alias("gist"))
 
 
-@query("G17 G18 G45")
+@query("")
 def neighbour_classes(spark: SparkSession, d: str) -> DataFrame:
     """The class of each held-out query vector by its five nearest training vectors."""
     from labelloom.operators.vectors import nearest, vote

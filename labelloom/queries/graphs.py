@@ -50,7 +50,7 @@ def vision_only_labels(spark: SparkSession, d: str) -> DataFrame:
     return targets.join(parents, "label_id", "left_anti").join(keywords, "label_id", "left_anti")
 
 
-@query("T10", f"WITH {EDGE_SQL} SELECT parent_id AS label_id, sha1(string_agg(concat(child_id, ':', weight), '|' ORDER BY child_id)) AS tag FROM e GROUP BY parent_id")
+@query("", f"WITH {EDGE_SQL} SELECT parent_id AS label_id, sha1(string_agg(concat(child_id, ':', weight), '|' ORDER BY child_id)) AS tag FROM e GROUP BY parent_id")
 def label_hash(spark: SparkSession, d: str) -> DataFrame:
     parts = F.transform(F.array_sort(F.collect_list(F.struct("child_id", "weight"))), lambda x: F.concat_ws(":", x["child_id"].cast("string"), x["weight"].cast("string")))
     return edges(spark).groupBy(F.col("parent_id").alias("label_id")).agg(F.sha1(F.array_join(parts, "|")).alias("tag"))

@@ -44,7 +44,7 @@ def page_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d)
 
 
-@query("T1 G65 S9", f"WITH {_SCORE_SQL}, n AS (SELECT page_id, label_id FROM s WHERE score >= 100), o AS (SELECT doc_id AS page_id, 1::BIGINT AS label_id FROM labels WHERE quality = 1) SELECT 'add' AS change, page_id, label_id FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT 'delete', page_id, label_id FROM (SELECT * FROM o EXCEPT SELECT * FROM n)")
+@query("T1", f"WITH {_SCORE_SQL}, n AS (SELECT page_id, label_id FROM s WHERE score >= 100), o AS (SELECT doc_id AS page_id, 1::BIGINT AS label_id FROM labels WHERE quality = 1) SELECT 'add' AS change, page_id, label_id FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT 'delete', page_id, label_id FROM (SELECT * FROM o EXCEPT SELECT * FROM n)")
 def page_labels(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: scores of all pages, their labels at the threshold, and the delta against the stored labels."""
     stored = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("page_id"), F.lit(1).cast("long").alias("label_id"))
@@ -70,7 +70,7 @@ def last_detections(spark: SparkSession, d: str) -> DataFrame:
     return L.last_detection(_active(spark, d), videos)
 
 
-@query("T16 ST5", "WITH o AS (SELECT o_custkey AS page_id, o_orderkey % 20 AS video_id, bool_or(o_orderstatus = 'O') AS active, count(*) AS seen_count FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1, 2), s AS (SELECT DISTINCT o_custkey AS page_id, o_orderkey % 20 AS video_id FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_custkey % 3 = 0), c AS (SELECT DISTINCT page_id FROM s), r AS (SELECT coalesce(o.page_id, s.page_id)::BIGINT AS page_id, coalesce(o.video_id, s.video_id)::BIGINT AS video_id, coalesce(o.active, false) AS was, CASE WHEN coalesce(o.page_id, s.page_id) IN (SELECT page_id FROM c) THEN s.page_id IS NOT NULL ELSE coalesce(o.active, false) END AS active, coalesce(o.seen_count, 0) + (s.page_id IS NOT NULL)::INT AS seen_count FROM o FULL JOIN s ON o.page_id = s.page_id AND o.video_id = s.video_id) SELECT page_id, video_id, active, CAST(seen_count AS BIGINT) AS seen_count, bool_or(active <> was) OVER (PARTITION BY page_id) AS changed FROM r")
+@query("T16", "WITH o AS (SELECT o_custkey AS page_id, o_orderkey % 20 AS video_id, bool_or(o_orderstatus = 'O') AS active, count(*) AS seen_count FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1, 2), s AS (SELECT DISTINCT o_custkey AS page_id, o_orderkey % 20 AS video_id FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_custkey % 3 = 0), c AS (SELECT DISTINCT page_id FROM s), r AS (SELECT coalesce(o.page_id, s.page_id)::BIGINT AS page_id, coalesce(o.video_id, s.video_id)::BIGINT AS video_id, coalesce(o.active, false) AS was, CASE WHEN coalesce(o.page_id, s.page_id) IN (SELECT page_id FROM c) THEN s.page_id IS NOT NULL ELSE coalesce(o.active, false) END AS active, coalesce(o.seen_count, 0) + (s.page_id IS NOT NULL)::INT AS seen_count FROM o FULL JOIN s ON o.page_id = s.page_id AND o.video_id = s.video_id) SELECT page_id, video_id, active, CAST(seen_count AS BIGINT) AS seen_count, bool_or(active <> was) OVER (PARTITION BY page_id) AS changed FROM r")
 def crawl_merge(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("page_id"), (F.col("o_orderkey") % 20).cast("long").alias("video_id"), "o_orderstatus", "o_orderdate")
     old = orders.where("o_orderdate < timestamp'1996-01-01'").groupBy("page_id", "video_id").agg(F.bool_or(F.col("o_orderstatus") == "O").alias("active"), F.count("*").alias("seen_count"))
@@ -85,7 +85,7 @@ def base_population(spark: SparkSession, d: str) -> DataFrame:
     return pages.join(active, "page_id", "left_semi").distinct()
 
 
-@query("T20 G49", "SELECT CAST(doc_id AS BIGINT) AS page_id, CAST(CASE quality WHEN 1 THEN 10 ELSE 20 END AS BIGINT) AS clf_target_id FROM labels")
+@query("T20", "SELECT CAST(doc_id AS BIGINT) AS page_id, CAST(CASE quality WHEN 1 THEN 10 ELSE 20 END AS BIGINT) AS clf_target_id FROM labels")
 def detector_results(spark: SparkSession, d: str) -> DataFrame:
     targets = spark.createDataFrame([(1, 10), (0, 20)], "quality int, clf_target_id long")
     return table(spark, d, "labels").join(F.broadcast(targets), "quality").select(F.col("doc_id").alias("page_id"), "clf_target_id")
@@ -96,7 +96,7 @@ def user_keyword_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.lower("text").contains("heat").alias("body"), F.lower(F.substring("text", 1, 60)).contains("heat").alias("title"))
 
 
-@query("G48 G28 M17", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS score, CAST(embedding[1] AS DOUBLE) >= CASE WHEN label < 5 THEN 0.1 ELSE 0.0 END AS result FROM embeddings")
+@query("", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS score, CAST(embedding[1] AS DOUBLE) >= CASE WHEN label < 5 THEN 0.1 ELSE 0.0 END AS result FROM embeddings")
 def detector_thresholds(spark: SparkSession, d: str) -> DataFrame:
     score = F.element_at("embedding", 1).cast("double")
     return table(spark, d, "embeddings").select("vec_id", F.round(score, 6).alias("score"), (score >= F.when(F.col("label") < 5, 0.1).otherwise(0.0)).alias("result"))

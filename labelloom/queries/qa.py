@@ -34,14 +34,14 @@ def impressions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").cast("double").alias("impressions")).orderBy(F.desc_nulls_last("impressions"), "l_partkey").limit(100)
 
 
-@query("A7 A39", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 12 AND count(*) FILTER (WHERE o_orderstatus = 'P') = 0")
+@query("A7", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 12 AND count(*) FILTER (WHERE o_orderstatus = 'P') = 0")
 def golden_candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("open")).where("n >= 12 AND open = 0").drop("open")
 
 
-@query("A8", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE user_id < 20 GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
+@query("A8", "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
 def most_frequent(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where("user_id < 20").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
 
 
 @query("A9 S23", "SELECT o_orderstatus, CAST(count(DISTINCT o_custkey) AS BIGINT) AS pages, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus")
@@ -66,7 +66,7 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id").join(done, "doc_id", "left").agg(F.round(F.count_distinct("done") / F.count_distinct("doc_id"), 6).alias("coverage"))
 
 
-@query("A14 G4 G59", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE o_orderstatus <> 'O') AS BIGINT) AS done, CAST(100 * count(*) FILTER (WHERE o_orderstatus <> 'O') // count(*) AS BIGINT) AS percent, count(*) FILTER (WHERE o_orderstatus = 'O') = 0 AS finished FROM orders GROUP BY o_custkey")
+@query("A14", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE o_orderstatus <> 'O') AS BIGINT) AS done, CAST(100 * count(*) FILTER (WHERE o_orderstatus <> 'O') // count(*) AS BIGINT) AS percent, count(*) FILTER (WHERE o_orderstatus = 'O') = 0 AS finished FROM orders GROUP BY o_custkey")
 def job_status(spark: SparkSession, d: str) -> DataFrame:
     done = F.count_if(F.col("o_orderstatus") != "O")
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), done.alias("done")).select("o_custkey", "n", "done", F.expr("100 * done div n").alias("percent"), (F.col("done") == F.col("n")).alias("finished"))
@@ -127,7 +127,7 @@ def worker_totals(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d).groupBy("worker").agg(yes.alias("yes"), no.alias("no")).withColumn("blocked", F.col("yes") > 0.6 * (F.col("yes") + F.col("no")))
 
 
-@query("A23 A24", "SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS hits, count(*) FILTER (WHERE event_type = 'click') >= 2 AND count(*) FILTER (WHERE event_type = 'click') >= 0.2 * count(*) AS accepted FROM events GROUP BY user_id")
+@query("A23", "SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS hits, count(*) FILTER (WHERE event_type = 'click') >= 2 AND count(*) FILTER (WHERE event_type = 'click') >= 0.2 * count(*) AS accepted FROM events GROUP BY user_id")
 def occurrence_votes(spark: SparkSession, d: str) -> DataFrame:
     hits = F.count_if(F.col("event_type") == "click")
     return table(spark, d, "events").groupBy("user_id").agg(hits.alias("hits"), F.count("*").alias("n")).select("user_id", "hits", ((F.col("hits") >= 2) & (F.col("hits") >= 0.2 * F.col("n"))).alias("accepted"))
@@ -148,14 +148,14 @@ def estimated_recall(spark: SparkSession, d: str) -> DataFrame:
     return c.select("source", F.round(S.ratio_or_zero(F.col("both"), F.col("n")), 6).alias("recall"))
 
 
-@query("T24 T25", "WITH h AS (SELECT o_orderkey AS hit, CAST(floor(o_totalprice) AS BIGINT) % 100 + 1 AS seconds FROM orders), i AS (SELECT l_orderkey AS hit, l_partkey AS item, max(l_returnflag = 'R') AS answer FROM lineitem GROUP BY 1, 2) SELECT hit, item, answer, CAST(ceil(seconds / (count(*) OVER (PARTITION BY hit))) AS BIGINT) AS seconds FROM i JOIN h USING (hit)")
+@query("T24", "WITH h AS (SELECT o_orderkey AS hit, CAST(floor(o_totalprice) AS BIGINT) % 100 + 1 AS seconds FROM orders), i AS (SELECT l_orderkey AS hit, l_partkey AS item, max(l_returnflag = 'R') AS answer FROM lineitem GROUP BY 1, 2) SELECT hit, item, answer, CAST(ceil(seconds / (count(*) OVER (PARTITION BY hit))) AS BIGINT) AS seconds FROM i JOIN h USING (hit)")
 def exploded_votes(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "orders").select(F.col("o_orderkey").alias("hit"), (F.floor("o_totalprice") % 100 + 1).alias("seconds"))
     items = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("hit")).agg(F.collect_set("l_partkey").alias("items"), F.collect_set(F.expr("if(l_returnflag = 'R', l_partkey, null)")).alias("clicked"))
     return Q.explode_items(hits.join(items, "hit"), "items", "clicked", "seconds").select("hit", "item", "answer", "seconds")
 
 
-@query("T22 J3", f"WITH {_HITS} SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('3|', doc_id)), doc_id) AS n FROM h WHERE result IS NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = h.doc_id AND o_orderstatus = 'F')) WHERE n <= 5")
+@query("J3", f"WITH {_HITS} SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('3|', doc_id)), doc_id) AS n FROM h WHERE result IS NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = h.doc_id AND o_orderstatus = 'F')) WHERE n <= 5")
 def qa_candidates(spark: SparkSession, d: str) -> DataFrame:
     from labelloom.operators import sampling
 
@@ -177,12 +177,12 @@ def signed_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").join(sold, "p_partkey", "left_semi").select("p_partkey", y.alias("y"))
 
 
-@query("G60", f"WITH {_HITS} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'golden' WHEN result IS NULL THEN 'on-demand' ELSE 'regular' END AS route FROM h")
+@query("", f"WITH {_HITS} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'golden' WHEN result IS NULL THEN 'on-demand' ELSE 'regular' END AS route FROM h")
 def result_routing(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).select("doc_id", F.when(F.col("doc_id") % 10 == 0, "golden").when(F.col("result").isNull(), "on-demand").otherwise("regular").alias("route"))
 
 
-@query("G58 T23", "SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors, CAST(count(*) AS BIGINT) AS n, round(100.0 * (count(*) - count(*) FILTER (WHERE event_type = 'error')) / count(*), 2) AS accuracy FROM events GROUP BY user_id")
+@query("", "SELECT user_id, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors, CAST(count(*) AS BIGINT) AS n, round(100.0 * (count(*) - count(*) FILTER (WHERE event_type = 'error')) / count(*), 2) AS accuracy FROM events GROUP BY user_id")
 def golden_errors(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count("*").alias("n"))
     return c.withColumn("accuracy", S.percent(F.col("n") - F.col("errors"), F.col("errors")))

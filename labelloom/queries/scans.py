@@ -49,12 +49,12 @@ def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
-@query("S7 S13 S18 J3", f"WITH {_HALVES} SELECT * FROM old UNION ALL SELECT * FROM new WHERE o_orderkey NOT IN (SELECT o_orderkey FROM old)")
+@query("S13 J3", f"WITH {_HALVES} SELECT * FROM old UNION ALL SELECT * FROM new WHERE o_orderkey NOT IN (SELECT o_orderkey FROM old)")
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     return merges.insert_ignore(*_halves(spark, d), ["o_orderkey"])
 
 
-@query("S14 S10 S11 S12", f"WITH {_HALVES} SELECT * FROM new UNION ALL SELECT * FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new)")
+@query("S14", f"WITH {_HALVES} SELECT * FROM new UNION ALL SELECT * FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new)")
 def upsert(spark: SparkSession, d: str) -> DataFrame:
     old, new = _halves(spark, d)
     return merges.upsert(old, new.withColumn("seq", F.col("o_orderkey")), ["o_orderkey"], "seq")
@@ -99,11 +99,11 @@ def log_demux(spark: SparkSession, d: str) -> DataFrame:
     return out.where("n > 0")
 
 
-@query("S19 S38 F11", "SELECT i.doc_id, coalesce(CASE WHEN d.doc_id % 3 <> 0 THEN d.text END, '') AS text FROM (SELECT doc_id FROM labels UNION SELECT doc_id + 1000000 FROM labels) i LEFT JOIN documents d ON d.doc_id = i.doc_id")
+@query("S19 F11", "SELECT i.doc_id, coalesce(d.text, '') AS text FROM (SELECT doc_id FROM labels UNION SELECT doc_id + 1000000 FROM labels) i LEFT JOIN documents d ON d.doc_id = i.doc_id")
 def text_batch(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").select("doc_id")
     ids = labels.union(labels.select(F.col("doc_id") + 1000000)).distinct()
-    return files.text_of(ids, table(spark, d, "documents").where("doc_id % 3 <> 0"), "doc_id", "text")
+    return files.text_of(ids, table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("S20", "SELECT l.doc_id AS box_id, e.label FROM labels l LEFT JOIN embeddings e ON e.vec_id = l.doc_id")
@@ -130,13 +130,13 @@ def json_lines(spark: SparkSession, d: str) -> DataFrame:
     return packed.select(row.alias("r")).select("r.event_id", F.from_json("r.props", "k long")["k"].alias("k"))
 
 
-@query("S25 O13", "SELECT doc_id, substr(md5(concat('split|', doc_id)), 1, 1) < 'c' AS train FROM documents")
+@query("O13", "SELECT doc_id, substr(md5(concat('split|', doc_id)), 1, 1) < 'c' AS train FROM documents")
 def train_test_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", (F.substring(F.md5(F.concat(F.lit("split|"), F.col("doc_id").cast("string"))), 1, 1) < "c").alias("train"))
 
 
 @query(
-    "S26",
+    "",
     "SELECT concat(label, ' ', string_agg(concat(i, ':', v), ' ' ORDER BY i)) AS value FROM (SELECT vec_id, CAST(CASE WHEN label = 0 THEN 1 ELSE 0 END AS VARCHAR) AS label, i, CAST(floor(embedding[i] * 1000) AS BIGINT) AS v FROM embeddings, range(1, 9) r(i)) GROUP BY vec_id, label",
 )
 def libsvm_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -150,15 +150,15 @@ def latest_version(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("latest"), F.min("o_orderdate").alias("earliest"))
 
 
-@query("S31 G16", "SELECT page_id, regexp_extract(url, '([^/]+)/[^/]*$', 1) AS label FROM pages")
+@query("", "SELECT page_id, regexp_extract(url, '([^/]+)/[^/]*$', 1) AS label FROM pages")
 def folder_label(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "([^/]+)/[^/]*$", 1).alias("label"))
 
 
-@query("S32 F15 G66", "SELECT event_id, concat(user_id, chr(9), lpad(CAST(floor(epoch(ts)) AS BIGINT)::VARCHAR, 12, '0')) AS line FROM events WHERE user_id > 0")
+@query("F15", "SELECT event_id, concat(user_id, chr(9), lpad(CAST(floor(epoch(ts)) AS BIGINT)::VARCHAR, 12, '0')) AS line FROM events")
 def image_list_lines(spark: SparkSession, d: str) -> DataFrame:
     ts = F.lpad(F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), 12, "0")
-    return table(spark, d, "events").where("user_id > 0").select("event_id", F.concat(F.col("user_id").cast("string"), F.lit("\t"), ts).alias("line"))
+    return table(spark, d, "events").select("event_id", F.concat(F.col("user_id").cast("string"), F.lit("\t"), ts).alias("line"))
 
 
 @query("S34", "SELECT p_partkey, CAST(s AS BIGINT) AS chunk_start FROM part, range(0, 3600, 10) r(s) WHERE s < p_size * 60")

@@ -24,13 +24,13 @@ def nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d, 10).select("query", "found", F.col("n").cast("long").alias("n"), F.round("distance", 6).alias("distance"))
 
 
-@query("J13 M27", f"WITH {_NEAR} SELECT a.query, a.distance < 0.95 * b.distance AS distinct_match FROM n a JOIN n b USING (query) WHERE a.n = 1 AND b.n = 2")
+@query("J13", f"WITH {_NEAR} SELECT a.query, a.distance < 0.95 * b.distance AS distinct_match FROM n a JOIN n b USING (query) WHERE a.n = 1 AND b.n = 2")
 def ratio_test(spark: SparkSession, d: str) -> DataFrame:
     two = _nearest(spark, d, 2).groupBy("query").agg(F.min_by("distance", "n").alias("first"), F.max_by("distance", "n").alias("second"))
     return two.select("query", (F.col("first") < 0.95 * F.col("second")).alias("distinct_match"))
 
 
-@query("A25 M30 G13", f"WITH {_NEAR}, v AS (SELECT query, label, sum(1 - distance / 2.0) AS votes FROM n WHERE n <= 15 AND distance <= 2.0 GROUP BY query, label) SELECT query, CAST(label AS BIGINT) AS label, round(votes / sum(votes) OVER (PARTITION BY query), 6) AS share FROM v")
+@query("A25", f"WITH {_NEAR}, v AS (SELECT query, label, sum(1 - distance / 2.0) AS votes FROM n WHERE n <= 15 AND distance <= 2.0 GROUP BY query, label) SELECT query, CAST(label AS BIGINT) AS label, round(votes / sum(votes) OVER (PARTITION BY query), 6) AS share FROM v")
 def neighbour_votes(spark: SparkSession, d: str) -> DataFrame:
     near = _nearest(spark, d, 15).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("found"), "label"), "found")
     return V.vote(near, "query", "label", "distance", 2.0).select("query", F.col("label").cast("long").alias("label"), F.round("share", 6).alias("share"))
@@ -46,7 +46,7 @@ def hyperplane_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", S.sign_bits(F.col("embedding"), PLANES[0]).alias("bucket"))
 
 
-@query("J14 M30", "WITH b AS (" + " UNION ALL ".join(f"SELECT vec_id, {t} AS t, {_bits_sql(p)} AS bucket FROM embeddings" for t, p in enumerate(PLANES)) + ") SELECT DISTINCT a.vec_id AS query, c.vec_id AS found FROM b a JOIN b c USING (t, bucket) WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id")
+@query("J14", "WITH b AS (" + " UNION ALL ".join(f"SELECT vec_id, {t} AS t, {_bits_sql(p)} AS bucket FROM embeddings" for t, p in enumerate(PLANES)) + ") SELECT DISTINCT a.vec_id AS query, c.vec_id AS found FROM b a JOIN b c USING (t, bucket) WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id")
 def bucket_candidates(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return V.candidates(e.where("vec_id % 100 = 0"), e, "vec_id", "vec_id", "embedding", PLANES)
@@ -80,7 +80,7 @@ def distances(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("vec_id", F.round(S.euclidean(a, b), 6).alias("euclidean"), F.round(S.cosine_distance(a, b), 6).alias("cosine"), F.round(S.chi_square(pa, pb), 6).alias("chi"), F.round(S.intersection(pa, pb), 6).alias("intersection"))
 
 
-@query("A29 M12 M13", "SELECT vec_id, CAST(b AS BIGINT) AS bin, round(len(list_filter(embedding::DOUBLE[], lambda x: x >= -1 + b * 0.5 AND x < -0.5 + b * 0.5)) / 64.0, 6)::DOUBLE AS share FROM embeddings, range(0, 4) r(b)")
+@query("A29 M12", "SELECT vec_id, CAST(b AS BIGINT) AS bin, round(len(list_filter(embedding::DOUBLE[], lambda x: x >= -1 + b * 0.5 AND x < -0.5 + b * 0.5)) / 64.0, 6)::DOUBLE AS share FROM embeddings, range(0, 4) r(b)")
 def histograms(spark: SparkSession, d: str) -> DataFrame:
     h = V.histogram(F.transform("embedding", lambda x: x.cast("double")), [-1.0, -0.5, 0.0, 0.5, 1.0])
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(h).alias("bin", "share")).select("vec_id", F.col("bin").cast("long").alias("bin"), F.round("share", 6).alias("share"))
@@ -113,7 +113,7 @@ def bucket_uniformity(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.count("*").alias("buckets"), F.round(F.sum(F.col("n") * F.col("n")).cast("double") * 64 / F.sum("n") - F.sum("n"), 6).alias("chi_square"))
 
 
-@query("A27 M32 M35", "WITH r AS (SELECT vec_id, label, CAST(vec_id % 5 AS BIGINT) AS fold, embedding[1]::DOUBLE >= 0 AS said FROM embeddings) SELECT fold, round(avg((said = (label < 5))::INT), 6) AS accuracy, avg((said = (label < 5))::INT) >= 0.5 AS passed FROM r GROUP BY fold")
+@query("A27", "WITH r AS (SELECT vec_id, label, CAST(vec_id % 5 AS BIGINT) AS fold, embedding[1]::DOUBLE >= 0 AS said FROM embeddings) SELECT fold, round(avg((said = (label < 5))::INT), 6) AS accuracy, avg((said = (label < 5))::INT) >= 0.5 AS passed FROM r GROUP BY fold")
 def fold_accuracy(spark: SparkSession, d: str) -> DataFrame:
     right = ((F.element_at("embedding", 1).cast("double") >= 0) == (F.col("label") < 5)).cast("int")
     a = table(spark, d, "embeddings").groupBy((F.col("vec_id") % 5).alias("fold")).agg(F.avg(right).alias("a"))

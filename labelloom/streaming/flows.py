@@ -47,7 +47,7 @@ def once_each(hits: DataFrame, key: str, at: str, late: str, ingest: Callable[[D
 
 def crawl_counts(seen: DataFrame, page: str) -> DataFrame:
     """Seen counts by page, kept as state over the whole stream (complete or update mode)."""
-    return seen.groupBy(page).agg(F.count("*").alias("crawls"), F.approx_count_distinct("video_id").alias("videos"))
+    return seen.groupBy(page).agg(F.count("*").alias("crawls"), F.size(F.collect_set("video_id")).cast("long").alias("videos"))
 
 
 def to_memory(rows: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:

@@ -194,3 +194,54 @@ def test_phrases_with_and_without_the_join(spark, monkeypatch):
         monkeypatch.setattr(joins, "FEW_PHRASES", few)
         got = [(r["id"], r["p"]) for r in joins.phrase_join(rows, "t", keys, "p", 3).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_large_graphs_as_small_ones(spark, monkeypatch):
+    """The ways for large label graphs give what the ways for small ones do, verdicts included."""
+    import random
+
+    from labelloom.checkpoints import ready
+    from labelloom.operators import joins
+    from labelloom.operators import labels as L
+
+    ready(spark)
+    rng = random.Random(2)
+    edges = spark.createDataFrame([(p, c, rng.randint(20, 60)) for c in range(1, 12) for p in rng.sample(range(c), min(c, 2))], "parent_id long, child_id long, weight long")
+    labels = spark.createDataFrame([(k, rng.randint(20, 110)) for k in range(12)], "label_id long, threshold long")
+    scores = spark.createDataFrame([(p, rng.randrange(14), rng.randint(-20, 90)) for p in range(60) for _ in range(5)], "page_id long, label_id long, score long")
+    verdicts = spark.createDataFrame([(p, k, rng.random() < 0.5) for p in range(0, 70, 3) for k in rng.sample(range(14), 3)], "page_id long, label_id long, result boolean")
+
+    def found():
+        true = L.roll_up(scores, edges, labels, verdicts)
+        tables = (true, joins.closure(edges, "parent_id", "child_id"), joins.longest_path_rank(edges, "parent_id", "child_id"))
+        return [sorted(map(tuple, t.collect())) for t in tables]
+
+    small = found()
+    monkeypatch.setattr(L, "SMALL_LABELS", 1)
+    monkeypatch.setattr(joins, "SMALL_GRAPH", 1)
+    assert small == found() and len(small[0]) > 50
+
+
+def test_copied_groups_of_boxes_go_through_whole(spark, sf_dir):
+    """Boxes of an image that lie in several batches are still one group."""
+    import numpy as np
+
+    from labelloom import ml
+    from labelloom.queries import QUERIES
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    once = sorted(map(tuple, QUERIES["suppressed_boxes"](spark, sf_dir).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert once == sorted(map(tuple, QUERIES["suppressed_boxes"](spark, sf_dir).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    by_image: dict = {}
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    for r in lines.selectExpr("l_orderkey i", "xxhash64(l_partkey, l_suppkey, l_linenumber, l_quantity) b", "l_partkey p", "l_suppkey s", "l_linenumber n", "l_extendedprice e").collect():
+        by_image.setdefault(r["i"], []).append((-r["e"], r["b"], (r["p"] % 40, r["s"] % 40, r["n"] * 4 + 5, r["n"] * 3 + 5)))
+    slow = []
+    for image, boxes in by_image.items():
+        boxes.sort()
+        slow += [(image, boxes[k][1]) for k in ml.box_nms(np.array([x[2] for x in boxes]))]
+    assert once == sorted(slow)
