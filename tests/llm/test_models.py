@@ -162,3 +162,25 @@ def test_bounded_sample(spark):
     rows = spark.range(10_000).withColumn("g", F.col("id") % 3)
     assert bounded_sample(rows, "id", 100).count() == 100 and bounded_sample(rows, "id", 20_000).count() == 10_000
     assert {r["count"] for r in bounded_sample(rows, "id", 50, "g").groupBy("g").count().collect()} == {50}
+
+
+def test_numbers_are_no_letters(spark):
+    rows = spark.createDataFrame([(0, "½ ² Ⅷ ①"), (1, "一二 ½"), (2, "x²"), (3, "12_34"), (4, "ª")], "doc_id long, text string")
+    model = L.model_of({"en": L._count([" some english words "]), "de": L._count([" ein paar deutsche worte "])})
+    got = {r["doc_id"]: r for r in L.predict(rows, model).collect()}
+    assert [got[k]["lang_pred"] == "und" for k in range(5)] == [True, False, False, True, False]
+    assert got[0]["score"] == 0 and L.letters_of("ab½cd²Ⅷe f1g") == " ab cd e f g "
+
+
+def test_a_repeated_id_stays_within_the_bounds(spark):
+    """A third of all rows and labels share one id; what is gathered for a fit does not grow with them."""
+    many = spark.range(3000).selectExpr("if(id < 1000, 7, id) doc_id", "concat('text of ', id % 40, if(id % 5 = 0, ' moron', ' kind')) text", "if(id % 2 = 0, 'en', 'de') lang")
+    labels = many.selectExpr("doc_id", "int(text like '%moron%') toxic")
+    sample = bounded_sample(labels.select("doc_id", "toxic"), "doc_id", 50)
+    assert sample.count() <= 50
+    by_lang = bounded_sample(many.select("doc_id", "lang"), "doc_id", 30, "lang").groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] <= 30 for r in by_lang} == {"en": True, "de": True}
+    model = X.train(many.select("doc_id", "text"), labels, max_rows=400)
+    got = {r["text"]: r["score"] for r in X.score(many.select("doc_id", "text"), model).collect()}
+    assert min(s for x, s in got.items() if "moron" in x) > max(s for x, s in got.items() if "moron" not in x)
+    assert L.train(many, max_rows=20).languages == ["de", "en"]
