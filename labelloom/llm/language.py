@@ -32,14 +32,15 @@ MAX_ROWS, BUCKETS = 4_000, 1 << 16
 #: Characters of a stretch; rounds of expectation-maximisation; log-likelihood that a further language must add.
 STRETCH, ROUNDS, PENALTY = 40, 12, 6.0
 UNKNOWN = "und"
-#: Runs of letters: word characters that are neither digits nor other numbers (as ², ½ and Ⅷ are).
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_KEPT = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_KEPT = re.compile(r"[^\W\d_]+")
 
 
 def letters_of(text: str) -> str:
-    """The words of letters in lower case, one space around each."""
+    """The words of letters in lower case, one space around each; other numbers than digits (as ², ½ and Ⅷ),
+    which the expression takes along, part words."""
     words = _KEPT.findall(text.lower())
+    if not "".join(words).isalpha():
+        words = [x for w in words for x in "".join(c if c.isalpha() else " " for c in w).split()]
     return f" {' '.join(words)} " if words else ""
 
 
