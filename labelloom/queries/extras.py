@@ -68,14 +68,14 @@ def packed_descriptors(spark: SparkSession, d: str) -> DataFrame:
 @query("S28")
 def saved_model(spark: SparkSession, d: str) -> DataFrame:
     """A model saved under its version, loaded again and applied."""
-    import tempfile
     import uuid
 
     from pyspark.ml import Pipeline, PipelineModel
 
+    from labelloom.checkpoints import scratch
+
     rows = ml.vectors(table(spark, d, "embeddings"), "embedding").withColumn("label", F.col("label").cast("double"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="labelloom-")
-    path = ml.save(Pipeline(stages=[ml.forest(5)]).fit(rows), f"{folder}/models-{uuid.uuid4().hex}", "v1")
+    path = ml.save(Pipeline(stages=[ml.forest(5)]).fit(rows), f"{scratch(spark)}/models-{uuid.uuid4().hex}", "v1")
     return PipelineModel.load(path).transform(rows).select("vec_id", F.col("prediction").cast("int").alias("predicted"))
 
 
