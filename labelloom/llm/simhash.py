@@ -171,8 +171,9 @@ def _lanes(mask: np.ndarray) -> np.ndarray:
 
 
 def joining_links(bucket: np.ndarray, fp: np.ndarray, radius: int, links: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For fingerprints in buckets (n, or n x words): places of links within the radius that span each
-    bucket's components; if `links` is given, only pairs of places that it confirms are links."""
+    """For fingerprints in buckets (n, or n x words): pairs of places that span the components which links
+    within the radius make in each bucket, each member with the first of its own, so that no chain is left to
+    follow; if `links` is given, only pairs of places that it confirms are links."""
     none = np.zeros(0, np.int64)
     if len(fp) < 2:
         return none, none
@@ -191,7 +192,6 @@ def joining_links(bucket: np.ndarray, fp: np.ndarray, radius: int, links: Callab
             i = parent[i]
         return i
 
-    out: list[tuple[int, int]] = []
     for shift in range(1, int(size[0])):
         n = int(np.searchsorted(-size, -shift, side="left"))  # of buckets with more than `shift` members
         if n <= shift:
@@ -212,17 +212,14 @@ def joining_links(bucket: np.ndarray, fp: np.ndarray, radius: int, links: Callab
             a, b = root(i), root(i + shift)
             if a != b and (links is None or links(int(order[i]), int(order[i + shift]))):
                 parent[max(a, b)] = min(a, b)
-                out.append((i, i + shift))
                 joined = True
         if joined:
             label = np.array(parent)
             while not np.array_equal(up := label[label], label):
                 label = up
             parent = label.tolist()
-    if not out:
-        return none, none
-    pairs = order[np.array(out)]
-    return pairs[:, 0], pairs[:, 1]
+    member = np.flatnonzero(label != at)
+    return order[label[member]], order[member]
 
 
 def _band_keys(fp: Column, bands: int) -> Column:
@@ -267,7 +264,7 @@ def _compare_sorted(rows: DataFrame, radius: int, at_once: int, split_above: int
                 yield batch_of(pa.array(key[off]), node[off], pa.nulls(int(off.sum()), pa.int64()))
             use = np.flatnonzero(~off[:stop])
             own = [np.frombuffer(shingles[k], "<u8") for k in use] if sets else []
-            i, j = joining_links(key[use], fp[use], radius, (lambda a, b: jaccard(own[a], own[b]) >= similarity) if sets else None)
+            i, j = joining_links(key[use], fp[use], radius, Similar(key[use], own, similarity) if sets else None)
             if len(i):
                 yield batch_of(pa.nulls(len(i), pa.int64()), node[use[i]], pa.array(node[use[j]]))
             held, waiting = [(key[stop:], node[stop:], fp[stop:], shingles[stop:])], len(key) - stop
@@ -339,6 +336,9 @@ SIMILARITY = 0.8
 #: Wide fingerprints that a task compares at once, and those of one bucket above which it is split up; bytes of
 #: shingle sets that a task holds at once, and sets of one group above which it is split up.
 WIDE_AT_ONCE, WIDE_SPLIT_ABOVE, SET_BYTES, SETS_SPLIT_ABOVE = 100_000, 30_000, 48 << 20, 4_000
+#: Times that a set is compared with one other before it is compared with its whole bucket; entries of shingles'
+#: lists that are counted at once.
+ASKED, GATHERED = 32, 1 << 20
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -350,6 +350,48 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+class Similar:
+    """Whether the sets at two places of one bucket have the similarity.
+
+    Sets asked for often are compared with their whole bucket at once, by counting along the lists of the sets
+    that have each shingle; buckets stand in a row, and the lists of one are made when it needs them first.
+    """
+
+    def __init__(self, bucket: np.ndarray, sets: list[np.ndarray], similarity: float):
+        self.sets, self.similarity = sets, similarity
+        self.first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+        self.asked = [0] * len(sets)
+        self.rows: dict[int, tuple[int, np.ndarray]] = {}
+        self.lists: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def __call__(self, a: int, b: int) -> bool:
+        if a not in self.rows:
+            self.asked[a] += 1
+            if self.asked[a] <= ASKED:
+                return jaccard(self.sets[a], self.sets[b]) >= self.similarity
+            self.rows[a] = self._row(a)
+        start, row = self.rows[a]
+        return bool(row[b - start >> 3] >> (b - start & 7) & 1)
+
+    def _row(self, a: int) -> tuple[int, np.ndarray]:
+        """The bucket's first place, and a bit for each of its sets."""
+        k = int(np.searchsorted(self.first, a, side="right")) - 1
+        start = int(self.first[k])
+        if k not in self.lists:
+            own = self.sets[start : self.first[k + 1] if k + 1 < len(self.first) else len(self.sets)]
+            sizes = np.array([len(x) for x in own])
+            which = np.unique(np.concatenate(own), return_inverse=True)[1].astype(np.int32)
+            owners = np.repeat(np.arange(len(own), dtype=np.int32), sizes)[np.argsort(which, kind="stable")]
+            self.lists[k] = sizes, np.r_[0, np.cumsum(sizes)], which, owners, np.r_[0, np.cumsum(np.bincount(which))]
+        sizes, bounds, which, owners, ends = self.lists[k]
+        mine, both = which[bounds[a - start] : bounds[a - start + 1]], np.zeros(len(sizes), np.int64)
+        step = max(1, GATHERED // len(sizes))
+        for at in range(0, len(mine), step):
+            both += np.bincount(np.concatenate([owners[ends[x] : ends[x + 1]] for x in mine[at : at + step].tolist()]), minlength=len(sizes))
+        either = sizes[a - start] + sizes - both
+        return start, np.packbits(np.where(either > 0, both / np.maximum(either, 1) >= self.similarity, True), bitorder="little")
+
+
 def bands_of(shingles: np.ndarray) -> np.ndarray:
     """The buckets of a set of shingle hashes: each is the number of a band and its least hashes, mixed."""
     least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)

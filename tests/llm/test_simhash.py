@@ -127,6 +127,23 @@ def test_different_texts_of_one_id_both_stay(spark):
     assert sorted((r["doc_id"] or 0, r["text"][:3]) for r in kept) == [(0, "one"), (1, "one"), (1, "som")] and len(kept[0]) == 3
 
 
+def test_similar_in_whole_buckets(monkeypatch):
+    """Rows of a bucket say what the comparison of two sets says, empty sets included."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[: rng.integers(0, 61)], rng.integers(0, 2**63, rng.integers(0, 12), dtype=np.uint64)]) for _ in range(40)] + [base[:0], base[:0]]
+    sets += [np.unique(np.r_[np.delete(base, k), base[:1]]) for k in range(20)]
+    bucket = np.repeat([3, 1, 2], [22, 20, 20])
+    monkeypatch.setattr(S, "GATHERED", 100)
+    for asked in (0, 3):
+        monkeypatch.setattr(S, "ASKED", asked)
+        similar = S.Similar(bucket, sets, 0.8)
+        pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if bucket[i] == bucket[j]]
+        got = [similar(i, j) for i, j in pairs]
+        assert got == [S.jaccard(sets[i], sets[j]) >= 0.8 for i, j in pairs] and 0 < sum(got) < len(got)
+        assert similar.rows
+
+
 def test_bands():
     a = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert S.bands_of(a).tolist() == S.bands_of(a.copy()).tolist() and len(set(S.bands_of(a).tolist())) == S.BANDS
