@@ -6,9 +6,9 @@ shares two at least (`radius` differing bits spoil `radius` bands at most), so e
 table of buckets, and within a bucket every pair is compared, none left out.
 
 The comparison is bit-sliced: bit planes stand vertically (one word holds one bit of 64 fingerprints);
-for each shift d, fingerprint i meets i + d, plane by plane; carry-save adders count differing bits for
-64 pairs at once; words of which no pair can still be within the radius are abandoned. Pairs that are
-already in one component need no comparison, so a dense group costs little, and only links that join two
+for each shift d, fingerprint i meets i + d, plane by plane, the first shifts one by one and later ones many at
+once; carry-save adders count differing bits for 64 pairs at once; words of which no pair can still be within
+the radius are abandoned. Pairs that are already in one component need no comparison, so a dense group costs little, and only links that join two
 components leave a bucket: fewer than its members. A bucket of very many fingerprints goes to several
 tasks, a pair of its blocks to each.
 
@@ -44,6 +44,8 @@ from labelloom.llm.components import connected
 BITS = 64
 #: Fingerprints that a task compares at once; and those of one bucket above which it is split up.
 AT_ONCE, SPLIT_ABOVE = 200_000, 100_000
+#: Words of lanes that are counted at once, and not many more than those of one shift.
+WORDS_AT_ONCE = 4096
 _UPPER = bytes(range(65, 91))
 _FOLD = bytes.maketrans(_UPPER, _UPPER.lower())
 
@@ -124,24 +126,22 @@ def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def within(planes: np.ndarray, shift: int, words: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the given lanes of these words, those whose fingerprint and the one `shift` further are near.
+def within(planes: np.ndarray, shift: np.ndarray, words: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the given lanes of these words, those whose fingerprint and the one `shift` further are near; each
+    word has its own shift.
 
-    Returns words and their lanes, without the words that have none.
+    Returns shifts, words and their lanes, without the words that have none.
     """
-    step, turn = divmod(shift, 64)
-    turn = np.uint64(turn)
-    rest = np.uint64((64 - int(turn)) % 64)
+    there = words + shift // 64
+    after, turn = np.minimum(there + 1, planes.shape[1] - 1), (shift % 64).astype(np.uint64)
+    rest, one = np.uint64(63) - turn, np.uint64(1)
     depth = max(2, (radius + 1).bit_length())
     counters = [np.zeros(len(words), np.uint64) for _ in range(depth)]
     spilt = np.zeros(len(words), np.uint64)
 
     def differing(b: int) -> np.ndarray:
         row = planes[b]
-        there = row[words + step]
-        if turn:
-            there = there >> turn | row[np.minimum(words + step + 1, planes.shape[1] - 1)] << rest
-        return row[words] ^ there
+        return row[words] ^ (row[there] >> turn | row[after] << rest << one)
 
     for b in range(0, len(planes), 2):
         x, y = differing(b), differing(b + 1)
@@ -156,11 +156,12 @@ def within(planes: np.ndarray, shift: int, words: np.ndarray, lanes: np.ndarray,
             lanes = lanes & ~(spilt | _over(counters, radius))
             alive = np.flatnonzero(lanes)
             if not len(alive):
-                return words[:0], lanes[:0]
+                return shift[:0], words[:0], lanes[:0]
             if len(alive) < len(words):
-                words, lanes, spilt = words[alive], lanes[alive], spilt[alive]
+                shift, words, lanes, spilt = shift[alive], words[alive], lanes[alive], spilt[alive]
+                there, after, turn, rest = there[alive], after[alive], turn[alive], rest[alive]
                 counters = [c[alive] for c in counters]
-    return words, lanes
+    return shift, words, lanes
 
 
 def _lanes(mask: np.ndarray) -> np.ndarray:
@@ -192,25 +193,31 @@ def joining_links(bucket: np.ndarray, fp: np.ndarray, radius: int, links: Callab
             i = parent[i]
         return i
 
-    for shift in range(1, int(size[0])):
-        n = int(np.searchsorted(-size, -shift, side="left"))  # of buckets with more than `shift` members
-        if n <= shift:
-            break
-        open_ = (left[:n] > shift)
-        open_[: n - shift] &= label[: n - shift] != label[shift:n]
-        lanes = _lanes(open_)
-        words = np.flatnonzero(lanes)
-        if not len(words):
+    begin, many = 1, 1  # the first shifts, which join most, one by one; later ones together, up to WORDS_AT_ONCE
+    while begin < int(size[0]):
+        taken: list[tuple[np.ndarray, ...]] = []
+        held, shift = 0, begin
+        while shift < min(begin + many, int(size[0])) and held < WORDS_AT_ONCE:
+            n = int(np.searchsorted(-size, -shift, side="left"))  # of buckets with more than `shift` members
+            open_ = left[:n] > shift
+            open_[: max(0, n - shift)] &= label[: max(0, n - shift)] != label[shift:n]
+            lanes = _lanes(open_)
+            words = np.flatnonzero(lanes)
+            taken.append((np.full(len(words), shift), words, lanes[words]))
+            held += len(words)
+            shift += 1
+        begin, many = shift, 2 * many
+        if not held:
             continue
-        words, near = within(planes, shift, words, lanes[words], radius)
+        shifts, words, near = within(planes, *(np.concatenate(x) for x in zip(*taken, strict=True)), radius)
         if not len(words):
             continue
         found = np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         w, lane = np.nonzero(found)
-        joined = False
-        for i in (words[w] * 64 + lane).tolist():
-            a, b = root(i), root(i + shift)
-            if a != b and (links is None or links(int(order[i]), int(order[i + shift]))):
+        joined, place = False, words[w] * 64 + lane
+        for i, j in zip(place.tolist(), (place + shifts[w]).tolist(), strict=True):
+            a, b = root(i), root(j)
+            if a != b and (links is None or links(int(order[i]), int(order[j]))):
                 parent[max(a, b)] = min(a, b)
                 joined = True
         if joined:
