@@ -230,6 +230,13 @@ def to_ascii(text: Column | str) -> Column:
     return F.pandas_udf(_to_ascii, "string")(as_column(text))
 
 
+def without_marks(text: Column | str) -> Column:
+    """Latin letters without the marks that they are composed with; those that no mark makes (ß, æ, ø, ð, þ) stay."""
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]}
+    plain = {c: p[0] for c, p in parts.items() if len(p) > 1 and p[0].isascii() and all(map(unicodedata.combining, p[1:]))}
+    return F.translate(as_column(text), "".join(plain), "".join(plain.values()))
+
+
 def stems(words: Column | str) -> Column:
     return F.pandas_udf(_stems, "array<string>")(as_column(words))
 

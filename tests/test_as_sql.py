@@ -27,3 +27,11 @@ def test_libsvm_lines_of_missing_and_repeated(spark, tmp_path):
     rows = [(1, [0.5, None], 0), (2, None, 1), (3, [], 1), (4, full, 0), (4, full, 0), (5, full, 0), (5, full, 2), (None, full, 2), (None, full, 2)]
     got, want = _both(spark, tmp_path, "libsvm_lines", "embeddings", rows, "vec_id long, embedding array<float>, label int")
     assert got == want
+
+
+def test_ascii_titles_keep_letters_that_no_mark_makes(spark, tmp_path):
+    every = "".join(map(chr, range(0xC0, 0x100)))
+    rows = [(1, "ß æ Æ ø Ø ð Þ", "es"), (2, every, "fr"), (3, f"x\n{every[::-1]}", "fr"), (4, None, "fr"), (5, "", "es"), (6, "é \U0001d4d0 Łạ ñ" * 9, "es"), (7, "é", "en"), (8, "é", None)]
+    got, want = _both(spark, tmp_path, "ascii_titles", "documents", rows, "doc_id long, text string, lang string")
+    assert got == want
+    assert (1, "ß æ Æ ø Ø ð Þ") in got
